@@ -8,8 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.substring_dedup import op4_substring_dedup
+from quire.llm.suffix_dedup import op2_suffix_dedup
 
-_OPERATORS = (op4_substring_dedup,)
+_OPERATORS = (op2_suffix_dedup, op4_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
