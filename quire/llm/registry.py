@@ -7,10 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.packing import op9_best_fit_packing
 from quire.llm.substring_dedup import op4_substring_dedup
 from quire.llm.suffix_dedup import op2_suffix_dedup
+from quire.llm.warc import op10_warc
 
-_OPERATORS = (op2_suffix_dedup, op4_substring_dedup)
+_OPERATORS = (op2_suffix_dedup, op4_substring_dedup, op9_best_fit_packing, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
