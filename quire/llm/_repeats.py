@@ -19,9 +19,7 @@ from quire.llm import _spark as S
 BLOCK_ROWS = 512
 
 _SENT = "shard int, _f long, _b long, keys binary, twice binary"
-_TOLD = "_f long, _b long, keys binary, many binary"
-#: A key that so many blocks sent is told as held by many.
-MANY = 64
+_TOLD = "_f long, _b long, keys binary"
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,26 +74,18 @@ def repeated(rows: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
             return
         every = np.sort(np.concatenate([k for _, _, k, _ in held]))
         again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[t] for _, _, k, t in held)]))
-        far = every[MANY - 1 :]
-        hot = np.unique(far[far == every[: len(far)]])
-        del every, far
+        del every
         out = [(f, b, k[B.member(k, again)]) for f, b, k, _ in held]
         out = [(f, b, k) for f, b, k in out if len(k)]
         for i in range(0, len(out), 256):
             f, b, k = zip(*out[i : i + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(b, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary()), pa.array([B.member(x, hot).tobytes() for x in k], pa.binary())], names=["_f", "_b", "keys", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(b, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary())], names=["_f", "_b", "keys"])
 
     sent = rows.select("_f", "_b", "text").mapInArrow(send, _SENT)
     return S.written(S.by_shard(sent, n, answer, _TOLD), name)
 
 
-def joined(replies: pa.Table) -> np.ndarray:
+def joined(replies: pa.Table, column: str = "keys") -> np.ndarray:
     """All repeated keys of a block, ascending."""
-    parts = [np.frombuffer(x, np.uint64) for x in replies.column("keys").to_pylist() if x]
-    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-
-def joined_many(replies: pa.Table) -> np.ndarray:
-    """Those that ``MANY`` blocks hold, ascending."""
-    parts = [np.frombuffer(x, np.uint64)[np.frombuffer(m, bool)] for x, m in zip(replies.column("keys").to_pylist(), replies.column("many").to_pylist(), strict=True) if x]
+    parts = [np.frombuffer(x, np.uint64) for x in replies.column(column).to_pylist() if x]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
