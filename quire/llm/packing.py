@@ -15,7 +15,10 @@ are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -33,8 +36,8 @@ LENGTH = 4096
 END = 1
 #: Pieces that one shard packs, about.
 SHARD = 32768
-#: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a worker process remembers; then it starts anew.
+REMEMBERED = 1_000_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
@@ -46,31 +49,45 @@ def tokenizer_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
     return f"{folder}/{name}"
 
 
+#: A full stop or comma that ends a word of letters or digits is a token of its own.
+_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|$))")
+_WORKERS: dict[str, WordIds] = {}
+
+
 class WordIds:
-    """Token ids of texts by a tokenizer that drops white space.
+    """Token ids of texts by a tokenizer that lower-cases and drops white space.
 
     White space always ends a token, so a text's ids are those of its space-separated parts, one after
-    another; each distinct part is tokenised once and remembered.
+    another; each distinct part is tokenised once and remembered. Lower case and a space before final
+    marks make fewer distinct parts and change no ids; texts that may hold special tokens, whose case
+    counts, are left as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def shared(path: str) -> WordIds:
+        """One for each worker process, which runs many tasks."""
+        if path not in _WORKERS:
+            _WORKERS[path] = WordIds(path)
+        return _WORKERS[path]
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [t.split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
+        parts = [(t if b"<|" in t else _MARK.sub(b" ", t.lower())).split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*parts) - self.known.keys())
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in p]) + end, "<u4") for p in parts]
+                self.known[w] = array("I", e.ids).tobytes()
+        end, ids = array("I", [END]).tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, p)) + end, np.uint32) for p in parts]
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int = LENGTH) -> DataFrame:
@@ -78,7 +95,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
     schema = _PIECES.format(id=docs.schema[id_col].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = WordIds.shared(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -87,7 +104,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
                     for p, a in enumerate(range(0, len(x), length)):
                         y = x[a : a + length]
                         take.append(k)
-                        for c, v in zip(columns, (p, a, len(y), zlib.crc32(y.tobytes())), strict=True):
+                        for c, v in zip(columns, (p, a, len(y), zlib.crc32(y.astype("<u4", copy=False).tobytes())), strict=True):
                             c.append(v)
                 where = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays(
