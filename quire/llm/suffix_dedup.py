@@ -61,7 +61,8 @@ def _segments(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     gram = min(GRAM, size)
     if len(buf) < size:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    anchors = B.sliding_min(B.gram_hashes(buf, gram), size - gram + 1)
+    # least hashes are small numbers; mixed, they spread evenly over shards
+    anchors = B.mix(B.sliding_min(B.gram_hashes(buf, gram), size - gram + 1))
     inner, n = offs[1:-1], len(anchors)
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, np.clip(inner - size + 1, 0, n), 1)
