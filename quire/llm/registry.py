@@ -11,9 +11,10 @@ from quire.llm.packing import op9_best_fit_packing
 from quire.llm.simhash import op5_simhash_near_dedup
 from quire.llm.substring_dedup import op4_substring_dedup
 from quire.llm.suffix_dedup import op2_suffix_dedup
+from quire.llm.toxicity import op6_toxicity
 from quire.llm.warc import op10_warc
 
-_OPERATORS = (op2_suffix_dedup, op4_substring_dedup, op5_simhash_near_dedup, op9_best_fit_packing, op10_warc)
+_OPERATORS = (op2_suffix_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_toxicity, op9_best_fit_packing, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
