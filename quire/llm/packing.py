@@ -37,7 +37,7 @@ END = 1
 #: Pieces that one shard packs, about.
 SHARD = 32768
 #: Words whose ids a worker process remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
@@ -51,6 +51,9 @@ def tokenizer_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
 
 #: A full stop or comma that ends a word of letters or digits is a token of its own.
 _MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|$))")
+#: Words whose runs are told by their bytes: ASCII without controls and apostrophes.
+_PLAIN = re.compile(rb"[!-&(-~]+")
+_RUN = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 _WORKERS: dict[str, WordIds] = {}
 
 
@@ -69,6 +72,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_run[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def shared(path: str) -> WordIds:
@@ -81,14 +87,36 @@ class WordIds:
         parts = [(t if b"<|" in t else _MARK.sub(b" ", t.lower())).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*parts) - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+        self._learn(set().union(*parts) - self.known.keys())
         end, ids = array("I", [END]).tobytes(), self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, p)) + end, np.uint32) for p in parts]
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Tokenises words, many in one line where it is known how many tokens that end a run each has."""
+        line: list[bytes] = []
+        runs: list[int] = []
+        alone: list[bytes] = []
+        for w in new:
+            n = 1 if w.isalpha() else len(_RUN.findall(w)) if _PLAIN.fullmatch(w) and b"<|" not in w else 1 if w.decode().isalpha() else 0
+            if n:
+                line.append(w)
+                runs.append(n)
+            else:
+                alone.append(w)
+        for i in range(0, len(line), 512):
+            part, last = line[i : i + 512], np.cumsum(runs[i : i + 512]) - 1
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_run[ids])
+            if len(ends) != last[-1] + 1:  # lower case or normal form made other runs of some word
+                alone += part
+                continue
+            data, cut = ids.tobytes(), [0, *(4 * (ends[last] + 1)).tolist()]
+            self.known.update(zip(part, [data[a:z] for a, z in zip(cut, cut[1:], strict=False)], strict=True))
+        for i in range(0, len(alone), 512):
+            part = alone[i : i + 512]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int = LENGTH) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, and row (a random number of the text)."""
