@@ -41,7 +41,7 @@ GRAM = 20
 #: Most strings in a segment.
 RUN = 48
 #: An anchor with so many different segments, counted by block, is held by many.
-MANY = 64
+MANY = 4096
 #: Bytes of segments that one construction takes; an anchor's segments stay together.
 BATCH = 1 << 21
 _LAST = np.iinfo(np.int64).max
@@ -171,8 +171,47 @@ class _Block:
         np.minimum.at(self.least, self.number, self.ids[self.text])
 
 
+def _shared_parts(data: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content, first string and number of strings of each run of strings that may occur in several contents."""
+    ends = np.cumsum(lens)
+    counts = lens - size + 1
+    owner, nth = _each(counts)
+    hashes = B.gram_hashes(data, size)[(ends - lens)[owner] + nth]
+    order = np.sort(hashes)
+    on = B.member(hashes, np.unique(order[1:][order[1:] == order[:-1]]))
+    edge = np.append(True, owner[1:] != owner[:-1])
+    a = np.flatnonzero(on & (edge | ~np.append(False, on[:-1])))
+    z = np.flatnonzero(on & (np.append(edge[1:], True) | ~np.append(on[1:], False))) + 1
+    return owner[a], nth[a], z - a
+
+
 def _least_ids(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every string of the contents (one after another), the least id that holds it; and their bounds."""
+    """For every string of the contents (one after another), the least id that holds it; and their bounds.
+
+    Only runs of strings whose hash occurs again are put in order, equal runs as one; contents with one
+    key meet there, and what is equal is decided on their bytes.
+    """
+    lens = np.fromiter(map(len, contents), np.int64, len(contents))
+    bound = np.append(0, np.cumsum(lens - size + 1))
+    out = np.repeat(least, lens - size + 1)
+    owner, first, count = _shared_parts(np.frombuffer(b"".join(contents), np.uint8), lens, size)
+    known: dict[bytes, int] = {}
+    number = np.fromiter((known.setdefault(contents[c][a:z], len(known)) for c, a, z in zip(owner.tolist(), first.tolist(), (first + count + size - 1).tolist(), strict=True)), np.int64, len(owner))
+    parts = list(known)
+    if not parts:
+        return out, bound
+    key, own = np.empty(len(parts), np.uint64), np.full(len(parts), _LAST)
+    key[number] = keys[owner]
+    np.minimum.at(own, number, least[owner])
+    low, start = _ordered(key, parts, own, size)
+    run, nth = _each(count)
+    place = (bound[owner] + first)[run] + nth
+    out[place] = np.minimum(out[place], low[start[number[run]] + nth])
+    return out, bound
+
+
+def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, by the order of all suffixes of the contents of each key."""
     lens = np.fromiter(map(len, contents), np.int64, len(contents))
     bound = np.append(0, np.cumsum(lens - size + 1))
     out = np.repeat(least, lens - size + 1)
@@ -195,9 +234,8 @@ def _least_ids(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size:
         out[bound[owner] + lens[owner] - length[long]] = value
 
     for c, w in zip(cut[width > 1].tolist(), width[width > 1].tolist(), strict=True):
-        part = order[c : c + w]
-        batch.append(part)
-        held += int(lens[part].sum())
+        batch.append(order[c : c + w])
+        held += int(lens[batch[-1]].sum())
         if held >= BATCH:
             build()
             batch, held = [], 0
