@@ -43,7 +43,7 @@ RUN = 48
 #: An anchor with so many different segments, counted by block, is held by many.
 MANY = 4096
 #: Bytes of segments that one construction takes; an anchor's segments stay together.
-BATCH = 1 << 21
+BATCH = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 _PRINTS = "shard int, _f long, _b long, keys binary, prints binary, least binary, several binary, base long"
@@ -188,42 +188,49 @@ def _shared_parts(data: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.nda
 def _least_ids(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For every string of the contents (one after another), the least id that holds it; and their bounds.
 
-    Only runs of strings whose hash occurs again are put in order, equal runs as one; contents with one
-    key meet there, and what is equal is decided on their bytes.
+    Contents with one key meet, about ``BATCH`` bytes at a time. Only runs of strings whose hash occurs
+    again are put in order, equal runs as one; what is equal is decided on their bytes.
     """
     lens = np.fromiter(map(len, contents), np.int64, len(contents))
     bound = np.append(0, np.cumsum(lens - size + 1))
     out = np.repeat(least, lens - size + 1)
-    owner, first, count = _shared_parts(np.frombuffer(b"".join(contents), np.uint8), lens, size)
-    known: dict[bytes, int] = {}
-    number = np.fromiter((known.setdefault(contents[c][a:z], len(known)) for c, a, z in zip(owner.tolist(), first.tolist(), (first + count + size - 1).tolist(), strict=True)), np.int64, len(owner))
-    parts = list(known)
-    if not parts:
-        return out, bound
-    key, own = np.empty(len(parts), np.uint64), np.full(len(parts), _LAST)
-    key[number] = keys[owner]
-    np.minimum.at(own, number, least[owner])
-    low, start = _ordered(key, parts, own, size)
-    run, nth = _each(count)
-    place = (bound[owner] + first)[run] + nth
-    out[place] = np.minimum(out[place], low[start[number[run]] + nth])
+    for at in _batches(keys, lens):
+        owner, first, count = _shared_parts(np.frombuffer(b"".join([contents[i] for i in at.tolist()]), np.uint8), lens[at], size)
+        owner = at[owner]
+        known: dict[bytes, int] = {}
+        number = np.fromiter((known.setdefault(contents[c][a:z], len(known)) for c, a, z in zip(owner.tolist(), first.tolist(), (first + count + size - 1).tolist(), strict=True)), np.int64, len(owner))
+        parts = list(known)
+        if not parts:
+            continue
+        key, own = np.empty(len(parts), np.uint64), np.full(len(parts), _LAST)
+        key[number] = keys[owner]
+        np.minimum.at(own, number, least[owner])
+        low, start = _ordered(key, parts, own, size)
+        run, nth = _each(count)
+        place = (bound[owner] + first)[run] + nth
+        out[place] = np.minimum(out[place], low[start[number[run]] + nth])
     return out, bound
 
 
-def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same, by the order of all suffixes of the contents of each key."""
-    lens = np.fromiter(map(len, contents), np.int64, len(contents))
-    bound = np.append(0, np.cumsum(lens - size + 1))
-    out = np.repeat(least, lens - size + 1)
+def _batches(keys: np.ndarray, lens: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the members of keys that have several, whole keys together, by about ``BATCH`` bytes."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     width = np.diff(np.append(cut, len(keys)))
-    batch: list[np.ndarray] = []
-    held = 0
+    order = order[np.repeat(width > 1, width)]
+    width = width[width > 1]
+    sums = np.cumsum(lens[order])[np.cumsum(width) - 1] if len(width) else width
+    step = np.flatnonzero(np.append(np.diff(sums // BATCH) > 0, True)) if len(width) else width
+    yield from np.split(order, np.cumsum(width)[step][:-1]) if len(width) else ()
+
 
-    def build() -> None:
-        at = np.concatenate(batch)
+def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, by the order of all suffixes of the contents of each key."""
+    lens = np.fromiter(map(len, contents), np.int64, len(contents))
+    bound = np.append(0, np.cumsum(lens - size + 1))
+    out = np.repeat(least, lens - size + 1)
+    for at in _batches(keys, lens):
         text, length, lcp = C.suffix_order(np.frombuffer(b"".join([contents[i] for i in at.tolist()]), np.uint8), lens[at], size)
         long = np.flatnonzero(length >= size)
         # a suffix too short to hold a string ends any run of equal strings, as its neighbours share less
@@ -232,15 +239,6 @@ def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: i
         owner = at[text[long]]
         value = np.repeat(np.minimum.reduceat(least[owner], heads), np.diff(np.append(heads, len(long))))
         out[bound[owner] + lens[owner] - length[long]] = value
-
-    for c, w in zip(cut[width > 1].tolist(), width[width > 1].tolist(), strict=True):
-        batch.append(order[c : c + w])
-        held += int(lens[batch[-1]].sum())
-        if held >= BATCH:
-            build()
-            batch, held = [], 0
-    if batch:
-        build()
     return out, bound
 
 
