@@ -8,7 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.decontamination import op1_decontamination
+from quire.llm.fingerprints import op7_fingerprints
 from quire.llm.language import op8_language_id
+from quire.llm.lm_scoring import op3_lm_scoring
 from quire.llm.packing import op9_best_fit_packing
 from quire.llm.simhash import op5_simhash_near_dedup
 from quire.llm.substring_dedup import op4_substring_dedup
@@ -16,7 +18,10 @@ from quire.llm.suffix_dedup import op2_suffix_dedup
 from quire.llm.toxicity import op6_toxicity
 from quire.llm.warc import op10_warc
 
-_OPERATORS = (op1_decontamination, op2_suffix_dedup, op4_substring_dedup, op5_simhash_near_dedup, op6_toxicity, op8_language_id, op9_best_fit_packing, op10_warc)
+_OPERATORS = (
+    op1_decontamination, op2_suffix_dedup, op3_lm_scoring, op4_substring_dedup, op5_simhash_near_dedup,
+    op6_toxicity, op7_fingerprints, op8_language_id, op9_best_fit_packing, op10_warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
