@@ -31,8 +31,8 @@ SIZE, GRAM = 10, 5
 BROADCAST = 250_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A run with this fingerprint stands for its text: it keeps the word count of texts without hits.
-_TEXT = 0
+#: Parts of the benchmark's fingerprints; one is looked for in its part only.
+PARTS = 4096
 
 
 def words(text: Column) -> Column:
@@ -42,17 +42,23 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ""), F.array().cast("array<string>"))
 
 
-def _fingerprints(length: int) -> str:
-    """SQL for the fingerprints of all windows of ``length`` words of ``words``, which are ``n``."""
-    gram = min(GRAM, length)
-    grams = f"transform(sequence(1, n - {gram - 1}), i -> xxhash64(slice(words, i, {gram})))"
-    return f"IF(n >= {length}, {grams}, array())", f"transform(sequence(1, n - {length - 1}), s -> array_min(slice(grams, s, {length - gram + 1})))"
+# Arrays that are costly to make are exploded with explode_outer: for a plain explode the optimizer adds a
+# filter on the array's size, which it moves below the projections, where it makes the array once more.
+
+
+def _places(array: str, at: str, n: int) -> str:
+    """n elements of an array from place ``at`` (from 0) on; unlike slice(), it doesn't read the whole array."""
+    return ", ".join(f"{array}[{at} + {k}]" for k in range(n))
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
     """``rows`` (with words and n) and ``least``: the fingerprint of each window of ``length`` words."""
-    grams, least = _fingerprints(length)
-    return rows.withColumn("grams", F.expr(grams)).withColumn("least", F.expr(f"IF(n >= {length}, {least}, array())")).drop("grams")
+    gram = min(GRAM, length)
+    wide = length - gram + 1
+    # grams is named more than once, so that the optimizer keeps it as a column and doesn't work it out in each step
+    rows = rows.withColumn("grams", F.expr(f"IF(n >= {length}, transform(sequence(0, n - {gram}), i -> xxhash64({_places('words', 'i', gram)})), array())"))
+    most = f"least({_places('grams', 's', wide)})" if wide > 1 else "grams[s]"
+    return rows.withColumn("least", F.expr(f"IF(size(grams) >= {wide}, transform(sequence(0, size(grams) - {wide}), s -> {most}), array())")).drop("grams")
 
 
 def _benchmark(items: DataFrame, size: int) -> DataFrame:
@@ -61,44 +67,54 @@ def _benchmark(items: DataFrame, size: int) -> DataFrame:
     out = None
     for length in range(1, size + 1):
         part = _windows(rows.filter(F.col("length") == length), length)
-        part = part.select("length", "item", "words", F.posexplode("least").alias("at", "fp"))
-        part = part.select("length", "fp", "item", F.array_join(F.slice("words", F.col("at") + 1, length), " ").alias("win"))
+        part = part.select("length", "item", "words", F.posexplode_outer("least").alias("at", "fp")).filter("fp is not null")
+        part = part.select("length", "fp", "item", F.expr(f"concat_ws(' ', {_places('words', 'at', length)})").alias("win"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("win_id", F.xxhash64("length", "win"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _parts(keys: DataFrame) -> DataFrame:
+    """One row, one column: the fingerprints as an array of ``PARTS`` arrays."""
+    part = keys.groupBy(F.pmod("fp", F.lit(PARTS)).alias("k")).agg(F.collect_set("fp").alias("of"))
+    every = keys.sparkSession.range(PARTS).select(F.col("id").alias("k")).join(F.broadcast(part), "k", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("of", F.array().cast("array<bigint>")).alias("of")))).alias("all")).select(F.col("all.of"))
+
+
+def _near(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with words and ``runs``), ``near``: those runs whose fingerprint is among ``keys``."""
+    if keys.count() <= BROADCAST:
+        # the fingerprints are one value of the whole query; used once, it is read in place and never copied into rows
+        known = F.filter("runs", lambda r: F.array_contains(F.get("_keys", F.pmod(r.fp, F.lit(PARTS)).cast("int")), r.fp))
+        return rows.withColumn("_keys", _parts(keys).scalar()).select("_f", "_r", "id", "n", "words", known.alias("near"))
+    each = rows.select("_f", "_r", F.explode_outer("runs").alias("run")).withColumn("fp", F.col("run.fp")).join(keys, "fp", "left_semi")
+    found = each.groupBy("_f", "_r").agg(F.collect_list("run").alias("near"))
+    return rows.select("_f", "_r", "id", "n", "words").join(found, ["_f", "_r"], "left")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = SIZE) -> DataFrame:
     """_f, _r (the row's place), id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("words"))
     told = S.written(_benchmark(items, size), "benchmark")
-    wins = _small(told.select("length", "win", "win_id").distinct())
+    wins = told.select("length", "win", "win_id").distinct()
     lengths = sorted(x[0] for x in told.select("length").distinct().collect())
 
-    text = F.col(text_col).cast("string")
-    rows = S.row_keyed(docs, 1, id=F.col(id_col), words=words(text)).drop("_b").withColumn("n", F.size("words"))
-    found = rows.select("_f", "_r", "id", "n", "words", F.expr(f"struct(0 AS length, -1 AS a, -1 AS z, {_TEXT}L AS fp)").alias("run"))
+    rows = S.row_keyed(docs, 1, id=F.col(id_col), words=words(F.col(text_col).cast("string"))).drop("_b").withColumn("n", F.size("words"))
+    runs = rows.withColumn("runs", F.expr("CAST(array() AS array<struct<length:int,a:int,z:int,fp:bigint>>)"))
+    for length in lengths:
+        runs = _windows(runs, length).withColumn("starts", F.expr("filter(transform(least, (x, i) -> struct(i AS a, x AS fp)), r -> r.a = 0 OR r.fp <> least[r.a - 1])"))
+        mine = f"transform(starts, (r, i) -> struct({length} AS length, r.a AS a, coalesce(get(starts, i + 1).a, size(least)) - 1 AS z, r.fp AS fp))"
+        runs = runs.withColumn("runs", F.expr(f"concat(runs, {mine})")).drop("least", "starts")
+    near = _near(runs, told.select("fp").distinct())
+    # each run takes its own words along; the row's own run, without words, keeps its word count
+    spread = "transform(near, r -> struct(r.length AS length, r.a AS a, slice(words, r.a + 1, r.z - r.a + r.length) AS words))"
+    own = "array(struct(0 AS length, 0 AS a, CAST(array() AS array<string>) AS words))"
+    near = near.select("_f", "_r", "id", "n", F.expr(f"explode_outer(concat({own}, coalesce({spread}, array())))").alias("run")).select("_f", "_r", "id", "n", "run.*")
+    near = near.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("length"), F.lit(0)))))
+    window = F.lit(None).cast("string")
     for length in lengths:
-        runs = _windows(rows, length).withColumn("starts", F.expr("filter(transform(least, (x, i) -> struct(i AS a, x AS fp)), r -> r.a = 0 OR r.fp <> least[r.a - 1])"))
-        runs = runs.withColumn("runs", F.expr(f"transform(starts, (r, i) -> struct({length} AS length, r.a AS a, coalesce(get(starts, i + 1).a, size(least)) - 1 AS z, r.fp AS fp))"))
-        if length == lengths[0]:
-            # the first pass over the texts also carries every text's own run
-            own = F.expr(f"array(struct({length} AS length, -1 AS a, -1 AS z, {_TEXT}L AS fp))")
-            found = runs.select("_f", "_r", "id", "n", "words", F.explode(F.concat(own, "runs")).alias("run"))
-        else:
-            found = found.unionByName(runs.select("_f", "_r", "id", "n", "words", F.explode("runs").alias("run")))
-    keys = told.select("length", "fp").distinct()
-    keys = _small(keys.unionByName(keys.select("length").distinct().withColumn("fp", F.lit(_TEXT).cast("long"))).distinct())
-    if lengths:
-        found = found.withColumn("length", F.col("run.length")).withColumn("fp", F.col("run.fp")).join(keys, ["length", "fp"], "left_semi")
-    else:
-        found = found.withColumn("length", F.lit(0))
-    near = found.select("_f", "_r", "id", "n", "length", "words", F.explode(F.sequence("run.a", "run.z")).alias("at"))
-    near = near.select("_f", "_r", "id", "n", "length", "at", F.when(F.col("at") >= 0, F.array_join(F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("length")), " ")).alias("win"))
-    hits = near.join(wins, ["length", "win"], "left")
+        window = F.when(F.col("length") == length, F.expr(f"concat_ws(' ', {_places('words', 'k', length)})")).otherwise(window)
+    near = near.select("_f", "_r", "id", "n", "length", (F.col("a") + F.col("k")).alias("at"), window.alias("win"))
+    hits = near.join(F.broadcast(wins) if wins.count() <= BROADCAST else wins, ["length", "win"], "left")
     span = F.when(F.col("win_id").isNotNull(), F.struct(F.col("at").alias("a"), (F.col("at") + F.col("length")).alias("z")))
     per = hits.groupBy("_f", "_r").agg(F.first("id").alias("id"), F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("win_id")).alias("wins"))
     union = "aggregate(spans, struct(0L AS upto, 0L AS n), (u, s) -> struct(greatest(u.upto, CAST(s.z AS BIGINT)) AS upto, u.n + greatest(0L, s.z - greatest(u.upto, CAST(s.a AS BIGINT))) AS n), u -> u.n)"

@@ -42,7 +42,8 @@ def terms(text: Column) -> Column:
 def lexicon(texts: DataFrame) -> DataFrame:
     """``term``: the hashes of the terms of ``texts`` (a column ``text``) in the band, as a written table."""
     n = texts.count()
-    each = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # explode() would add a filter on the array's size, which makes the array twice
+    each = texts.select(F.explode_outer(terms(F.col("text"))).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("n"))
     return S.written(each.filter((F.col("n") >= max(2, RARE * n)) & (F.col("n") <= COMMON * n)).select("term"), "lexicon")
 
 
