@@ -63,6 +63,16 @@ def _plain_scan(df: DataFrame) -> bool:
     return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` as a file scan, whose rows have places that stay: itself if it is one, else written to the shared folder."""
+    return df if _plain_scan(df) else written(df, "rows")
+
+
+def keyed_all(df: DataFrame) -> DataFrame:
+    """All columns of a ``stable`` frame with _f and _r, the row's place."""
+    return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("_f"), F.col("_metadata.row_index").alias("_r"))
+
+
 def row_keyed(df: DataFrame, block_rows: int, **columns: Column) -> DataFrame:
     """``columns`` of ``df`` with ``_f`` (file), ``_b`` (block) and ``_r`` (row of the file), all long.
 

@@ -123,7 +123,8 @@ def links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """_f, _r (the row's place), id, fp and component_id (the least id that the row reaches by links)."""
+    """_f, _r (the row's place), id, fp, root (the component's least fingerprint) and component_id (the least
+    id that the row reaches by links)."""
     if not 0 <= bits < 8:
         raise ValueError("bits is 0 to 7")
     fps = fingerprints(docs, id_col, text_col, words)
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = S.written(joined, "classes")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(joined.join(least, "root").select("fp", "component_id"), "fp").select("_f", "_r", "id", "fp", "component_id")
+    return fps.join(joined.join(least, "root").select("fp", "root", "component_id"), "fp").select("_f", "_r", "id", "fp", "root", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
@@ -243,8 +244,8 @@ def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: i
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed
-    runs) and ``kept``, the remaining bytes. The id is an integer."""
+    """One row for each row of ``docs``: _f, _r (the row's place), the id, ``n_bytes``, ``n_removed``, ``n_spans``
+    (maximal removed runs) and ``kept``, the remaining bytes. The id is an integer."""
     if not 2 <= size < 200:
         raise ValueError("size is 2 to 199")
     n = S.shards(docs.sparkSession)
@@ -338,14 +339,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keep = got.buf[~gone].tobytes()
         cut = (offs - sums[offs]).tolist()
         return pa.table({
-            "id": got.rows.column("id"), "n_bytes": np.diff(offs), "n_removed": np.diff(sums[offs]), "n_spans": np.diff(spans[offs]),
+            "_f": got.rows.column("_f"), "_r": got.rows.column("_r"), "id": got.rows.column("id"), "n_bytes": np.diff(offs), "n_removed": np.diff(sums[offs]), "n_spans": np.diff(spans[offs]),
             "kept": pa.array([keep[a:z] for a, z in zip(cut, cut[1:], strict=False)], pa.binary()),
         })
 
-    made = S.with_replies(rows, replies, finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    made = S.with_replies(rows, replies, finish, "_f long, _r long, id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return made.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
+def _decoded(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
+def kept_text(kept: Column | str) -> Column:
+    """Kept bytes as text, without code points that lost some of their bytes."""
+    return F.pandas_udf(_decoded, "string")(kept)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of ``suffix_dedup`` over all documents, by strings of 50 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
