@@ -122,11 +122,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     sets = per.filter("set is not null").groupBy("set").agg(F.first("wins").alias("wins"))
     shared = sets.select("set", F.explode("wins").alias("win_id")).join(told.select("win_id", "item").distinct(), "win_id").groupBy("set").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    none = F.sha2(F.lit("").cast("binary"), 256)
-    digest = shared.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "items")
-    return per.join(digest, "set", "left").select(
-        "_f", "_r", "id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    digest = shared.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    # texts without hits, mostly all, have no set and stay out of the join
+    clean = per.filter("set is null").select("_f", "_r", "id", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"))
+    hit = per.filter("set is not null").join(digest, "set", "left")
+    hit = hit.select("_f", "_r", "id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"))
+    return clean.unionByName(hit).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
