@@ -87,9 +87,15 @@ class WordIds:
         parts = [(t if b"<|" in t else _MARK.sub(b" ", t.lower())).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn(set().union(*parts) - self.known.keys())
-        end, ids = array("I", [END]).tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, p)) + end, np.uint32) for p in parts]
+        get, end = self.known.get, array("I", [END]).tobytes()
+        found = [list(map(get, p)) for p in parts]
+        # one look-up a word: only what was missing is looked up again
+        missing = [(p, f, [k for k, x in enumerate(f) if x is None]) for p, f in zip(parts, found, strict=True) if None in f]
+        self._learn({p[k] for p, _, at in missing for k in at})
+        for p, f, at in missing:
+            for k in at:
+                f[k] = self.known[p[k]]
+        return [np.frombuffer(b"".join(f) + end, np.uint32) for f in found]
 
     def _learn(self, new: set[bytes]) -> None:
         """Tokenises words, many in one line where it is known how many tokens that end a run each has."""
