@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import quantisation, transforms  # noqa: F401
+from quire.plans import coding, quantisation, transforms  # noqa: F401
 from quire.plans.registry import QUERIES, SQL, Query
 
 
