@@ -6,6 +6,8 @@ so that every step runs over megabytes at a time and never over single words in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,3 +190,10 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     """Shard 0 to n - 1 of each hash, ascending with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+
+
+def release() -> None:
+    """Gives memory that was freed back to the system: Spark keeps its Python workers, and their heaps, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -67,6 +67,7 @@ def repeated(rows: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
                 keys, twice = distinct(np.concatenate(got))
                 if len(keys):
                     yield pack_by_shard(n, f, b, keys, twice).rename_columns(["shard", "_f", "_b", "keys", "twice"])
+                B.release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(f, b, np.frombuffer(k, np.uint64), np.frombuffer(t, bool)) for x in batches for f, b, k, t in zip(*(x.column(c).to_pylist() for c in ("_f", "_b", "keys", "twice")), strict=True)]

@@ -15,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import _bytes as B
+
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -93,10 +95,21 @@ def row_keyed(df: DataFrame, block_rows: int, **columns: Column) -> DataFrame:
 
 def by_shard(df: DataFrame, n: int, answer: Callable, schema: str) -> DataFrame:
     """``answer`` over the rows of each shard (column ``shard``, 0 to n - 1), a shard a task."""
-    return df.repartitionById(n, "shard").mapInArrow(answer, schema)
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from answer(batches)
+        B.release()
+
+    return df.repartitionById(n, "shard").mapInArrow(whole, schema)
 
 
 def with_replies(docs: DataFrame, replies: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """``finish(key, rows, replies)`` for each block of ``docs``, with the rows of ``replies`` for that block."""
     keys = ["_f", "_b"]
-    return docs.groupBy(*keys).cogroup(replies.groupBy(*keys)).applyInArrow(finish, schema)
+
+    def each(key, left, right):
+        out = finish(key, left, right)
+        B.release()
+        return out
+
+    return docs.groupBy(*keys).cogroup(replies.groupBy(*keys)).applyInArrow(each, schema)

@@ -206,6 +206,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                         [pa.array(some, pa.int32()), same(kind, pa.int32()), same(f, pa.int64()), same(b, pa.int64()), *(pa.array([x[a:z].tobytes() for a, z in zip(cut[some], cut[some + 1], strict=True)], pa.binary()) for x in (keys, counts))],
                         names=["shard", "kind", "_f", "_b", "keys", "counts"],
                     )
+                B.release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])

@@ -262,6 +262,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     narrow = np.uint32 if int(least.max()) < 2**32 else np.uint64
                     out = R.pack_by_shard(n, f, b, keys, prints, least.astype(narrow), several)
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([base] * out.num_rows, pa.int64())], names=_names(_PRINTS))
+                B.release()
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
