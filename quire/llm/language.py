@@ -164,6 +164,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             found = [held.value.predict(texts.slice(i, j - i).to_pylist()) for i, j in B.pieces(offs)]
             langs = [x for f, _ in found for x in f]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(np.concatenate([s for _, s in found] or [np.empty(0)]))], names=["id", "lang_pred", "score"])
+            B.release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

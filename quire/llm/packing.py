@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import _bytes as B
 from quire.llm import _spark as S
 
 #: Tokens in a sequence.
@@ -36,8 +37,8 @@ LENGTH = 4096
 END = 1
 #: Pieces that one shard packs, about.
 SHARD = 32768
-#: Words whose ids a worker process remembers; then it starts anew.
-REMEMBERED = 1_500_000
+#: Words whose ids a task remembers; then it starts anew.
+REMEMBERED = 500_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
@@ -54,7 +55,6 @@ _MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|$))")
 #: Words whose runs are told by their bytes: ASCII without controls and apostrophes.
 _PLAIN = re.compile(rb"[!-&(-~]+")
 _RUN = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
-_WORKERS: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -76,13 +76,6 @@ class WordIds:
         self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_run[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
-    @staticmethod
-    def shared(path: str) -> WordIds:
-        """One for each worker process, which runs many tasks."""
-        if path not in _WORKERS:
-            _WORKERS[path] = WordIds(path)
-        return _WORKERS[path]
-
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         parts = [(t if b"<|" in t else _MARK.sub(b" ", t.lower())).split() for t in texts]
         if len(self.known) > REMEMBERED:
@@ -129,7 +122,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
     schema = _PIECES.format(id=docs.schema[id_col].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds.shared(path)
+        ids = WordIds(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -145,6 +138,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
                     [part.column("id").take(where), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:]), part.column("row").take(where)],
                     names=["id", "piece", "start", "length", "ids_crc32", "row"],
                 )
+        del ids
+        B.release()
 
     rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col))
     return rows.select("id", "text", F.xxhash64("_f", "_r").alias("row")).mapInArrow(cut, schema)

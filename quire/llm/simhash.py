@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = np.fromiter((fingerprint((t or "").encode(), words) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_f", "_r", "id")), pa.array(found.view(np.int64))], names=["_f", "_r", "id", "fp"])
+            B.release()
 
     rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col)).drop("_b")
     return S.written(rows.mapInArrow(each, f"_f long, _r long, id {kind}, fp long"), "fingerprints")

@@ -27,7 +27,7 @@ from quire.llm import _learn as L
 
 BITS = 20
 #: Labelled rows that the machine is fitted on, at most (in expectation: they are chosen by a hash).
-MOST = 20_000
+MOST = 12_000
 FACTORS = 8
 ROUNDS = 150
 RATE = 0.05
@@ -127,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             text, bucket = terms(batch.column("text"))
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], names=["label", "terms"])
+            B.release()
 
     got = rows.mapInArrow(each, "label int, terms array<int>").toArrow().combine_chunks()
     label, held = got.column("label").to_numpy().astype(float), got.column("terms").combine_chunks()
@@ -144,6 +145,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFra
         for batch in batches:
             score = model.value.scores(batch.num_rows, *terms(batch.column(place)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            B.release()
 
     return docs.mapInArrow(each, out)
 
