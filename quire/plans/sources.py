@@ -83,8 +83,8 @@ def stream_read_many(spark, sf_dir):
     return atlas.read_many(events.filter("event_id % 97 = 0").select("event_id"), "event_id")
 
 
-@query("SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_windows(spark, sf_dir):
     """Event-time windows of one hour, as a batch of the streaming operator's aggregation."""
     e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select(F.col("w.start").cast("long").alias("start"), "event_type", "n", "total")
+    return e.select(F.date_format("w.start", "yyyy-MM-dd HH:00").alias("start"), "event_type", "n", "total")
