@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import oracles
 from quire.llm.decontamination import op1_decontamination
 from quire.llm.fingerprints import op7_fingerprints
 from quire.llm.language import op8_language_id
@@ -29,4 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": oracles.DECONTAMINATION,
+        "op2_suffix_dedup": oracles.SUFFIX,
+        "op4_substring_dedup": oracles.SUBSTRING,
+        "op10_warc": oracles.WARC,
+    }
