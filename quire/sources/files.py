@@ -6,6 +6,8 @@ payload, so header queries never read payloads. Parquet folders take the place o
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,6 @@ def byte_rows(df: DataFrame, id_col: str, data: str) -> DataFrame:
 
 def netpbm(df: DataFrame, data: str = "content") -> DataFrame:
     """h, w, c and pixels (an array of bytes as ints) of binary PGM and PPM files; null for other bytes."""
-    import numpy as np
-    import pandas as pd
-
     def read(raw: bytes) -> tuple:
         parts = raw[:64].split(None, 4)
         if len(parts) < 4 or parts[0] not in (b"P5", b"P6"):
