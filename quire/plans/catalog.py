@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import coding, corpus, metrics, models, quantisation, selection, sources, transforms  # noqa: F401
+from quire.plans import codecs, coding, corpus, metrics, models, quantisation, selection, sources, transforms  # noqa: F401
 from quire.plans.registry import QUERIES, SQL, Query
 
 
