@@ -50,10 +50,9 @@ def tokenizer_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
     return f"{folder}/{name}"
 
 
-#: A full stop or comma that ends a word of letters or digits is a token of its own.
-_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|$))")
 #: Words whose runs are told by their bytes: ASCII without controls and apostrophes.
 _PLAIN = re.compile(rb"[!-&(-~]+")
+_ALNUM = ~B.separators((48, 57), (97, 122))
 _RUN = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 
 
@@ -61,9 +60,9 @@ class WordIds:
     """Token ids of texts by a tokenizer that lower-cases and drops white space.
 
     White space always ends a token, so a text's ids are those of its space-separated parts, one after
-    another; each distinct part is tokenised once and remembered. Lower case and a space before final
-    marks make fewer distinct parts and change no ids; texts that may hold special tokens, whose case
-    counts, are left as they are.
+    another; each distinct part (by a 64-bit hash) is tokenised once and remembered. Lower case, and final
+    marks as parts of their own, make fewer distinct parts and change no ids; texts that may hold special
+    tokens, whose case counts, are left as they are.
     """
 
     def __init__(self, path: str):
@@ -71,50 +70,81 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_run[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [(t if b"<|" in t else _MARK.sub(b" ", t.lower())).split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get, end = self.known.get, array("I", [END]).tobytes()
-        found = [list(map(get, p)) for p in parts]
-        # one look-up a word: only what was missing is looked up again
-        missing = [(p, f, [k for k, x in enumerate(f) if x is None]) for p, f in zip(parts, found, strict=True) if None in f]
-        self._learn({p[k] for p, _, at in missing for k in at})
-        for p, f, at in missing:
-            for k in at:
-                f[k] = self.known[p[k]]
-        return [np.frombuffer(b"".join(f) + end, np.uint32) for f in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Tokenises words, many in one line where it is known how many tokens that end a run each has."""
-        line: list[bytes] = []
+        self.marks = np.zeros(256, np.uint32)
+        for c in ".,":
+            self.marks[ord(c)] = self.tokenizer.encode(c, add_special_tokens=False).ids[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Numbers of words by hash; ids of all words one after another, and where each word's begin."""
+        self.number: dict[int, int] = {}
+        self.ids, self.begin = array("I"), array("q", [0])
+
+    def of(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id, and where each text's begin."""
+        data = buf.tobytes()
+        if b"<|" not in data:
+            buf = B.lowered(buf)
+            data = buf.tobytes()
+        starts, ends, text = B.words(buf, offs, B.SPACED)
+        # a full stop or comma after a letter or digit is a token of its own
+        mark = np.where(ends - starts > 1, self.marks[buf[ends - 1]], 0)
+        mark[~_ALNUM[buf[ends - 2]]] = 0
+        ends = ends - (mark > 0)
+        hashes, first, of = np.unique(B.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        keys = hashes.tolist()
+        new = [k for k, x in enumerate(map(self.number.get, keys)) if x is None]
+        where = first[new]
+        for k, ids in zip(new, self._learn([data[a:z] for a, z in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]), strict=True):
+            self.number[keys[k]] = len(self.begin) - 1
+            self.ids.frombytes(ids)
+            self.begin.append(len(self.ids))
+        word = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[of]
+        begin = np.frombuffer(self.begin, np.int64)
+        size = begin[word + 1] - begin[word]
+        both = size + (mark > 0)
+        # where nothing else is written, the end id stays
+        at = np.cumsum(both) - both + text
+        out = np.full(int(both.sum()) + len(offs) - 1, END, np.uint32)
+        owner = np.repeat(np.arange(len(word)), size)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        out[at[owner] + nth] = np.frombuffer(self.ids, np.uint32)[begin[word][owner] + nth] if len(self.ids) else 0
+        out[(at + size)[mark > 0]] = mark[mark > 0]
+        return out, np.append(0, np.cumsum(np.bincount(text, both, len(offs) - 1).astype(np.int64) + 1))
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of words, many in one line where it is known how many tokens that end a run each has."""
+        out: list[bytes] = [b""] * len(new)
+        line: list[int] = []
         runs: list[int] = []
-        alone: list[bytes] = []
-        for w in new:
+        alone: list[int] = []
+        for k, w in enumerate(new):
             n = 1 if w.isalpha() else len(_RUN.findall(w)) if _PLAIN.fullmatch(w) and b"<|" not in w else 1 if w.decode().isalpha() else 0
             if n:
-                line.append(w)
+                line.append(k)
                 runs.append(n)
             else:
-                alone.append(w)
+                alone.append(k)
         for i in range(0, len(line), 512):
             part, last = line[i : i + 512], np.cumsum(runs[i : i + 512]) - 1
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join([new[k] for k in part]).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends_run[ids])
             if len(ends) != last[-1] + 1:  # lower case or normal form made other runs of some word
                 alone += part
                 continue
             data, cut = ids.tobytes(), [0, *(4 * (ends[last] + 1)).tolist()]
-            self.known.update(zip(part, [data[a:z] for a, z in zip(cut, cut[1:], strict=False)], strict=True))
+            for k, a, z in zip(part, cut, cut[1:], strict=False):
+                out[k] = data[a:z]
         for i in range(0, len(alone), 512):
             part = alone[i : i + 512]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
+        return out
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int = LENGTH) -> DataFrame:
@@ -124,18 +154,21 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                take, columns = [], [[] for _ in range(4)]
-                for k, x in enumerate(ids.of([(t or "").encode() for t in part.column("text").to_pylist()])):
-                    for p, a in enumerate(range(0, len(x), length)):
-                        y = x[a : a + length]
-                        take.append(k)
-                        for c, v in zip(columns, (p, a, len(y), zlib.crc32(y.astype("<u4", copy=False).tobytes())), strict=True):
-                            c.append(v)
-                where = pa.array(take, pa.int64())
+            whole, bounds = B.buffer(batch.column("text"))
+            for i, j in B.pieces(bounds):
+                found, at = ids.of(whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                sizes = np.diff(at)
+                count = -(-sizes // length)
+                text = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * length
+                size = np.minimum(length, sizes[text] - start)
+                data = found.astype("<u4", copy=False).tobytes()
+                crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip((at[text] + start).tolist(), (at[text] + start + size).tolist(), strict=True)]
+                part = batch.slice(i, j - i)
+                where = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(where), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:]), part.column("row").take(where)],
+                    [part.column("id").take(where), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), part.column("row").take(where)],
                     names=["id", "piece", "start", "length", "ids_crc32", "row"],
                 )
         del ids

@@ -3,10 +3,12 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, fingerprints, language, lm_scoring, packing, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from quire.llm import _bytes as B
 from quire.llm import _learn as L
 
 from . import brute
@@ -139,8 +141,10 @@ def test_word_ids_are_the_tokenizers():
     r = random.Random(3)
     chars = "aAbÉé'.,!%<|>0 5́̇İß½\n\t_-xyzsK\x1c\x85"
     texts = ["a<|endoftext|>b", "<|ENDOFTEXT|> AB<|", "don't won't'd. DON'T.", *("".join(r.choice(chars) for _ in range(r.randint(1, 40))) for _ in range(3000))]
-    for got, want in zip(ids.of([t.encode() for t in texts]), ids.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert list(got[:-1]) == want.ids and got[-1] == packing.END
+    for part in (texts, [*texts[2:1500], ""], ["", ""]):
+        got, at = ids.of(*B.buffer(pa.array(part)))
+        for a, z, want in zip(at, at[1:], ids.tokenizer.encode_batch(part, add_special_tokens=False), strict=False):
+            assert list(got[a : z - 1]) == want.ids and got[z - 1] == packing.END
 
 
 def test_warc(spark, tmp_path):
