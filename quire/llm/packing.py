@@ -37,8 +37,8 @@ LENGTH = 4096
 END = 1
 #: Pieces that one shard packs, about.
 SHARD = 32768
-#: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Words whose ids a worker process remembers, about 100 MB; then it starts anew.
+REMEMBERED = 600_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
@@ -52,6 +52,7 @@ def tokenizer_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
 
 #: Words whose runs are told by their bytes: ASCII without controls and apostrophes.
 _PLAIN = re.compile(rb"[!-&(-~]+")
+_WORKERS: dict[str, WordIds] = {}
 _ALNUM = ~B.separators((48, 57), (97, 122))
 _RUN = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 
@@ -78,6 +79,13 @@ class WordIds:
             self.marks[ord(c)] = self.tokenizer.encode(c, add_special_tokens=False).ids[0]
         self._forget()
 
+    @staticmethod
+    def shared(path: str) -> WordIds:
+        """One for each worker process, which runs many tasks; ``REMEMBERED`` bounds what it keeps."""
+        if path not in _WORKERS:
+            _WORKERS[path] = WordIds(path)
+        return _WORKERS[path]
+
     def _forget(self) -> None:
         """Numbers of words by hash; ids of all words one after another, and where each word's begin."""
         self.number: dict[int, int] = {}
@@ -152,7 +160,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
     schema = _PIECES.format(id=docs.schema[id_col].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = WordIds.shared(path)
         for batch in batches:
             whole, bounds = B.buffer(batch.column("text"))
             for i, j in B.pieces(bounds):
@@ -171,7 +179,6 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int =
                     [part.column("id").take(where), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), part.column("row").take(where)],
                     names=["id", "piece", "start", "length", "ids_crc32", "row"],
                 )
-        del ids
         B.release()
 
     rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col))
