@@ -56,6 +56,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes all intermediate tables and archives that operators have left in the shared folder; results that
+    have not been written yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quire")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shards(spark: SparkSession) -> int:
     """How many shards an exchange by hash has; it follows ``spark.sql.shuffle.partitions``."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

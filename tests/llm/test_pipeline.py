@@ -68,3 +68,14 @@ def test_edge_rows(spark, docs, sf_dir):
         before, rows = rows, stage(spark, rows, sf_dir)
         assert rows.count() > 0
     assert before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_cleanup_removes_intermediate_tables(spark, docs):
+    import os
+
+    from quire.llm import _spark as S
+    from quire.llm.substring_dedup import substring_dedup
+
+    assert substring_dedup(docs).count() and os.listdir(f"{S.shared_dir(spark)}/quire")
+    S.cleanup(spark)
+    assert not os.path.exists(f"{S.shared_dir(spark)}/quire")
