@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.corpus import written
+
 
 def image_kind(colours: Column, roughness: Column) -> Column:
     return F.when(colours <= 256, "palette").when(roughness < 5, "smooth").when(roughness < 15, "mixed").otherwise("photo")
@@ -64,7 +66,8 @@ def strided(df: DataFrame, order: str, k: int) -> DataFrame:
     n = df.count()
     spark = df.sparkSession
     places = spark.range(k).select(F.floor(F.col("id") * (n - 1) / max(1, k - 1)).cast("long").alias("place")).distinct()
-    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    # written, as ranges that are worked out twice may differ
+    ranged = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
     return numbered(ranged, order).join(F.broadcast(places), "place").drop("_range")
 
 

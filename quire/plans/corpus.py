@@ -106,14 +106,30 @@ def difficulty_tiles(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", "tile")
 
 
-@query(f"WITH RECURSIVE {PLANE}, on_ AS (SELECT blk, i * 8 + j AS node FROM plane WHERE v >= 140), walk(blk, node, root) AS (SELECT blk, node, node FROM on_ UNION SELECT o.blk, o.node, w.root FROM walk w JOIN on_ o ON o.blk = w.blk AND ((abs(o.node - w.node) = 8) OR (abs(o.node - w.node) = 1 AND o.node // 8 = w.node // 8))) SELECT blk, count(DISTINCT root) AS pieces FROM (SELECT blk, node, min(root) AS root FROM walk GROUP BY ALL) GROUP BY blk")
-def betti0(spark, sf_dir):
-    on = plane(spark, sf_dir).filter("v >= 140").select("blk", "i", "j", (F.col("blk") * 64 + F.col("i") * 8 + F.col("j")).alias("node"))
+_WALK = "walk(blk, node, root) AS (SELECT blk, node, node FROM on_ UNION SELECT o.blk, o.node, w.root FROM walk w JOIN on_ o ON o.blk = w.blk AND ((abs(o.node - w.node) = 8) OR (abs(o.node - w.node) = 1 AND o.node // 8 = w.node // 8))), piece AS (SELECT blk, node, min(root) AS root FROM walk GROUP BY ALL)"
+
+
+def _pieces(p):
+    """Places (blk, i, j) with the root of their 4-connected piece."""
+    on = p.select("blk", "i", "j", (F.col("blk") * 64 + F.col("i") * 8 + F.col("j")).alias("node"))
     right = on.select("blk", "i", (F.col("j") - 1).alias("j"), F.col("node").alias("b"))
     down = on.select("blk", (F.col("i") - 1).alias("i"), "j", F.col("node").alias("b"))
     edges = on.join(right, ["blk", "i", "j"]).unionByName(on.join(down, ["blk", "i", "j"])).select(F.col("node").alias("a"), "b")
-    c = A.components(edges, on.select("node"))
-    return c.groupBy(F.floor(F.col("root") / 64).cast("long").alias("blk")).agg(F.count_distinct("root").alias("pieces"))
+    return on.join(A.components(edges, on.select("node")), "node")
+
+
+@query(f"WITH RECURSIVE {PLANE}, on_ AS (SELECT blk, i * 8 + j AS node FROM plane WHERE v >= 140), {_WALK} SELECT blk, count(DISTINCT root) AS pieces FROM piece GROUP BY blk")
+def betti0(spark, sf_dir):
+    """Pieces of bright places in each block."""
+    return _pieces(plane(spark, sf_dir).filter("v >= 140")).groupBy("blk").agg(F.count_distinct("root").alias("pieces"))
+
+
+@query(f"WITH RECURSIVE {PLANE}, on_ AS (SELECT blk, i * 8 + j AS node FROM plane WHERE v < 140), {_WALK}, e AS (SELECT blk, root, bool_or(node // 8 IN (0, 7) OR node % 8 IN (0, 7)) AS open FROM piece GROUP BY ALL) SELECT blk, count(*) FILTER (NOT open) AS holes FROM e GROUP BY blk")
+def betti1(spark, sf_dir):
+    """Dark pieces that bright places enclose, so that none of them lies at the edge."""
+    edge = F.col("i").isin(0, 7) | F.col("j").isin(0, 7)
+    e = _pieces(plane(spark, sf_dir).filter("v < 140")).groupBy("blk", "root").agg(F.some(edge).alias("open"))
+    return e.groupBy("blk").agg(F.count_if(~F.col("open")).alias("holes"))
 
 
 @query(f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 1 AND b.label = 1 AND round({_DIST}, 9) < 0.9), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), walk(node, root) AS (SELECT vec_id, vec_id FROM embeddings WHERE label = 1 UNION SELECT e.b, w.root FROM walk w JOIN e ON e.a = w.node), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node) SELECT (SELECT count(*) FROM c) AS v, (SELECT count(*) FROM p) AS e, (SELECT count(DISTINCT root) FROM c) AS components, (SELECT count(*) FROM p) - ((SELECT count(*) FROM c) - (SELECT count(DISTINCT root) FROM c)) AS loops")
