@@ -153,3 +153,30 @@ def chain_lengths(parents: DataFrame, most: int = 64) -> DataFrame:
             return done
         done, depth = done.unionByName(step), step
     raise ValueError(f"a chain is longer than {most}")
+
+
+def average_linkage(pairs: DataFrame, clusters: int, most: int = 500) -> DataFrame:
+    """node, cluster: agglomerative clustering by mean distance, cut at so many clusters, for at most ``most`` nodes
+    (more are an error: the method needs the whole matrix in one place). Ties go to the smaller nodes."""
+    import numpy as np
+
+    spark = pairs.sparkSession
+    if pairs.select("a").union(pairs.select("b")).distinct().count() > most:
+        raise ValueError(f"more than {most} nodes; use a clustering that scales, such as k-means")
+    got = pairs.select("a", "b", "d").toPandas()
+    nodes = np.unique(np.concatenate([got["a"], got["b"]]))
+    n = len(nodes)
+    d = np.full((n, n), np.inf)
+    a, b = np.searchsorted(nodes, got["a"]), np.searchsorted(nodes, got["b"])
+    d[a, b] = d[b, a] = got["d"]
+    size, label, alive = np.ones(n), np.arange(n), n
+    while alive > max(1, clusters):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = mean, mean
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+        alive -= 1
+    return spark.createDataFrame([(int(x), int(nodes[k])) for x, k in zip(nodes, label, strict=True)], "node long, cluster long")

@@ -291,3 +291,11 @@ def size_at_equal_quality(spark, sf_dir):
 def source_quota(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", k.alias("k")).filter("k <= 3").orderBy("o_custkey", "k").limit(200)
+
+
+@query()
+def linkage_purity(spark, sf_dir):
+    """Average-linkage clusters of the first 200 vectors (the operator's bound is 500) and their purity by label."""
+    v = vectors(spark, sf_dir).filter("vec_id < 200")
+    c = A.average_linkage(A.pair_distances(v), 8)
+    return A.purity(c.join(labels(spark, sf_dir, "node", "label"), "node"), "cluster", "label")

@@ -101,3 +101,13 @@ def test_chain_that_is_too_long_is_an_error(spark):
     assert {r.depth for r in corpus.chain_lengths(ring).collect()} == set(range(9))
     with pytest.raises(ValueError):
         corpus.chain_lengths(ring, most=4)
+
+
+def test_average_linkage_is_the_plain_one(spark):
+    r = random.Random(11)
+    x = [r.random() + 5 * (k % 3) for k in range(24)]
+    pairs = spark.createDataFrame([(a, b, abs(x[a] - x[b])) for a in range(24) for b in range(a + 1, 24)], "a long, b long, d double")
+    got = {q.node: q.cluster for q in corpus.average_linkage(pairs, 3).collect()}
+    assert all((got[a] == got[b]) == (a % 3 == b % 3) for a in range(24) for b in range(24))
+    with pytest.raises(ValueError):
+        corpus.average_linkage(pairs, 3, most=10)
