@@ -27,7 +27,7 @@ from quire.llm import _learn as L
 
 BITS = 20
 #: Labelled rows that the machine is fitted on, at most (in expectation: they are chosen by a hash).
-MOST = 12_000
+MOST = 20_000
 FACTORS = 8
 ROUNDS = 150
 RATE = 0.05

@@ -1,0 +1,15 @@
+"""The machine learns from all of 15,000 labelled rows, rare terms included."""
+
+import numpy as np
+import pyarrow as pa
+
+from quire.llm import toxicity
+
+
+def test_rare_terms_of_many_labels_are_learned(spark):
+    rare = [f"rare{k}" for k in range(10)]
+    rows = [(i, f"plain words {rare[i // 30]}" if i % 10 == 0 and i < 300 else "plain words", int(i % 10 == 0)) for i in range(15_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    _, bucket = toxicity.terms(pa.array([" ".join(rare)]))
+    assert len(bucket) == 10 and np.isin(bucket, machine.buckets).all()
