@@ -50,6 +50,12 @@ def residual_codec(spark, sf_dir):
     return K.residual_decode(K.residual_encode(plane(spark, sf_dir).filter("blk < 100"), "blk", steps=30)).select("blk", "i", "j", "v")
 
 
+@query()
+def residual_codec_all(spark, sf_dir):
+    """``residual_codec`` over all blocks."""
+    return K.residual_decode(K.residual_encode(plane(spark, sf_dir), "blk", steps=30)).select("blk", "i", "j", "v")
+
+
 @query(f"WITH {PLANE} SELECT blk, i, j, v - v % 2 + (blk + i + j) % 2 AS carrier, CAST((blk + i + j) % 2 AS INT) AS bit FROM plane")
 def lsb_embed(spark, sf_dir):
     bit = ((F.col("blk") + F.col("i") + F.col("j")) % 2).cast("int")
@@ -67,7 +73,18 @@ def texture_array(spark, sf_dir):
 def similar_region(spark, sf_dir):
     """For each 4 x 4 patch the most similar of 32 regions, which are blocks at half their size."""
     c = cells(spark, sf_dir)
-    regions = T.block_mean(c.filter("blk < 32"), ["blk"], 2, 8).withColumnRenamed("blk", "region")
+    return _most_similar(c, c.filter("blk < 32"))
+
+
+@query()
+def similar_region_all(spark, sf_dir):
+    """``similar_region`` with the regions of all blocks."""
+    c = cells(spark, sf_dir)
+    return _most_similar(c, c)
+
+
+def _most_similar(c, of):
+    regions = T.block_mean(of, ["blk"], 2, 8).withColumnRenamed("blk", "region")
     patches = c.select("blk", F.floor(F.col("i") / 4).cast("int").alias("pi"), F.floor(F.col("j") / 4).cast("int").alias("pj"), (F.col("i") % 4).alias("i"), (F.col("j") % 4).alias("j"), "v")
     return K.similar_regions(patches, regions, ["blk", "pi", "pj"]).withColumn("error", F.round("error", 6))
 
