@@ -85,6 +85,13 @@ def mst(spark, sf_dir):
     return A.spanning_tree(edges, nodes).withColumn("d", F.round("d", 6))
 
 
+@query()
+def mst_all(spark, sf_dir):
+    """``mst`` over all vectors."""
+    v = vectors(spark, sf_dir)
+    return A.spanning_tree(pairs(spark, sf_dir), v.select(F.col("vec_id").alias("node"))).withColumn("d", F.round("d", 6))
+
+
 @query()
 def ancestry_purity(spark, sf_dir):
     """Share of spanning-tree edges whose ends have one label."""
@@ -134,7 +141,16 @@ def betti1(spark, sf_dir):
 
 @query(f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 1 AND b.label = 1 AND round({_DIST}, 9) < 0.9), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), walk(node, root) AS (SELECT vec_id, vec_id FROM embeddings WHERE label = 1 UNION SELECT e.b, w.root FROM walk w JOIN e ON e.a = w.node), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node) SELECT (SELECT count(*) FROM c) AS v, (SELECT count(*) FROM p) AS e, (SELECT count(DISTINCT root) FROM c) AS components, (SELECT count(*) FROM p) - ((SELECT count(*) FROM c) - (SELECT count(DISTINCT root) FROM c)) AS loops")
 def vr_components(spark, sf_dir):
-    edges, nodes = _small_graph(spark, sf_dir)
+    return _loops(*_small_graph(spark, sf_dir))
+
+
+@query()
+def vr_components_all(spark, sf_dir):
+    """``vr_components`` over all vectors."""
+    return _loops(pairs(spark, sf_dir), vectors(spark, sf_dir).select(F.col("vec_id").alias("node")))
+
+
+def _loops(edges, nodes):
     near = A.written(edges.filter("d < 0.9"), "near")
     c = A.components(near, nodes).agg(F.count("*").alias("v"), F.count_distinct("root").alias("components"))
     e = near.agg(F.count("*").alias("e"))

@@ -42,6 +42,24 @@ def test_ancestry_purity(spark, sf_dir):
     assert abs(got.purity - np.mean([label[a] == label[b] for a, b in want])) < 1e-6
 
 
+def test_mst_all(spark, sf_dir):
+    ids, _, d = vectors(sf_dir)
+    want = sorted((int(ids[a]), int(ids[b]), round(float(d[a, b]), 6)) for a, b in tree(ids, d))
+    got = sorted((r.a, r.b, r.d) for r in Q["mst_all"](spark, sf_dir).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+
+
+def test_vr_components_all(spark, sf_dir):
+    ids, _, d = vectors(sf_dir)
+    label = np.arange(len(ids))
+    a, b = np.nonzero(np.triu(d < 0.9, 1))
+    for x, y in zip(a, b, strict=True):
+        label[label == label[y]] = label[x]
+    v, e, c = len(ids), len(a), len(np.unique(label))
+    assert Q["vr_components_all"](spark, sf_dir).first().asDict() == {"v": v, "e": e, "components": c, "loops": e - v + c}
+
+
 def test_linkage_purity(spark, sf_dir):
     ids, label, d = vectors(sf_dir)
     groups = [[k] for k in range(len(ids))]
