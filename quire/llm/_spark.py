@@ -7,10 +7,12 @@ again, whatever the values in the rows are (null or repeated ids included).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +22,25 @@ from quire.llm import _bytes as B
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folder, below the shared one, that tables of the present run go to.
+_RUN: ContextVar[str] = ContextVar("run", default="tables")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a session in a single
+    process gets a temporary one; on a cluster that would be a folder that executors don't see, so it is an error."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="quire-")
-            sc.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quire-")
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quire/{_RUN.get()}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -47,22 +54,35 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_FILE_CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = table_path(spark, name)
+    path = path or table_path(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Removes all intermediate tables and archives that operators have left in the shared folder; results that
-    have not been written yet are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quire")
+def cleanup(spark: SparkSession, folder: str = "") -> None:
+    """Removes all intermediate tables and archives that operators have left in the shared folder, or those in
+    one folder there; results that have not been written yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quire{folder and '/'}{folder}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside have a folder of their own, which goes at the end: what is to stay must be
+    written inside to a path from outside."""
+    folder = uuid.uuid4().hex
+    token = _RUN.set(folder)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        cleanup(spark, folder)
+
+
 def shards(spark: SparkSession) -> int:
     """How many shards an exchange by hash has; it follows ``spark.sql.shuffle.partitions``."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -77,9 +97,37 @@ def stable(df: DataFrame) -> DataFrame:
     return df if _plain_scan(df) else written(df, "rows")
 
 
-def keyed_all(df: DataFrame) -> DataFrame:
-    """All columns of a ``stable`` frame with _f and _r, the row's place."""
-    return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("_f"), F.col("_metadata.row_index").alias("_r"))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(name: str) -> Column:
+    """The column of this very name, whatever signs are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, by their very names."""
+    return [named(c) for c in df.columns]
+
+
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """File and row in it; a column of the table that is called _metadata doesn't hide them."""
+    place = df.metadataColumn("_metadata")
+    return F.xxhash64(place["file_path"]), place["row_index"]
+
+
+def keyed_all(df: DataFrame, f: str = "_f", r: str = "_r") -> DataFrame:
+    """All columns of a ``stable`` frame with the row's place in two columns more; their names must be ``fresh``."""
+    file, row = _place(df)
+    return df.select(*every(df), file.alias(f), row.alias(r))
 
 
 def row_keyed(df: DataFrame, block_rows: int, **columns: Column) -> DataFrame:
@@ -91,9 +139,9 @@ def row_keyed(df: DataFrame, block_rows: int, **columns: Column) -> DataFrame:
     if not _plain_scan(df):
         df = written(df.select(*[c.alias(k) for k, c in columns.items()]), "rows")
         columns = {k: df[k] for k in columns}
-    r = F.col("_metadata.row_index")
+    f, r = _place(df)
     return df.select(
-        F.xxhash64(F.col("_metadata.file_path")).alias("_f"),
+        f.alias("_f"),
         F.floor(r / block_rows).cast("long").alias("_b"),
         r.alias("_r"),
         *[c.alias(k) for k, c in columns.items()],

@@ -6,11 +6,12 @@ adds its log frequency in each language. An unseen word falls back to its runs o
 adds the mean of their log frequencies. The language with the largest sum wins; ties go to the first in
 alphabetical order. The score is that language's share when the sums per word are taken as evidence.
 
-Counts come from at most about ``MOST`` labelled texts, so the model has a bounded size whatever the
-table's; it goes to the executors whole.
+Counts come from at most ``MOST`` labelled texts of each language, so a rare language is learned beside
+common ones, and the model grows with the languages but not with the texts; it goes to the executors whole.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or nothing could be learned;
-null languages teach nothing; repeated rows teach as often as they come; an empty table gives an empty
+null languages teach nothing; repeated rows teach as often as they come; equal texts have equal results;
+texts are taken whole, however long; null or repeated ids don't matter; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -22,14 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
 from quire.llm import _learn as L
+from quire.llm import _spark as S
 
-#: Labelled texts that counts come from, at most (in expectation: they are chosen by a hash).
-MOST = 6_000
+#: Labelled texts of a language that counts come from, at most; beyond, a hash of id and place draws them.
+MOST = 2_000
 #: Longest run of letters that an unseen word falls back to, and least count of what is known.
 LONGEST, SEEN = 5, 3
 UNKNOWN = "und"
@@ -120,10 +122,10 @@ class Model:
         return [self.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), counts.tolist(), strict=True)], score
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST) -> Model:
-    """Counts words and runs of letters of the labelled texts of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    rows = L.sample(rows, "_id", most).select("lang", "text")
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST, learn: Column | None = None) -> Model:
+    """Counts words and runs of letters of the labelled texts of ``docs``, or of those that ``learn`` holds for."""
+    rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col), lang=F.col(lang_col).cast("string"), learn=F.lit(True) if learn is None else learn).filter("lang IS NOT NULL AND learn")
+    rows = L.fetched(rows.select("_f", "_r", "text"), L.sample(rows.select("_f", "_r", "id", "lang"), most, "lang").select("_f", "_r", "lang")).select("lang", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,5 +175,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a quarter of the ids teach nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = L.held_out("doc_id", 4, 2)
-    model = train(docs.filter(~out))
+    model = train(docs, learn=~out)
     return predicted(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")

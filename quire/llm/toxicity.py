@@ -1,14 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms: lower-cased runs of letters, digits and bytes from 0x80, hashed to
-2**``BITS`` buckets. Terms that go with the label (chi-square) take part; the machine scores a text by
-w0 + sum of w_i + sum over pairs of <v_i, v_j>, so a pair of terms can weigh more or less than the two
-alone. It is fitted by Adam on all chosen rows at once, on the driver, from at most about ``MOST``
-labelled rows; the model is a few thousand terms at most 2**``BITS``, so it goes to the executors whole.
+2**``BITS`` buckets. Terms take part that go with the label or against it (chi-square), alone or among the
+texts that hold a term of the first kind: so a word that says nothing by itself, such as a group's name,
+takes part if it matters beside an insult. The machine scores a text by w0 + sum of w_i + sum over pairs
+of <v_i, v_j>, so a pair of terms can weigh more or less than the two alone. It is fitted by Adam on all
+chosen rows at once, on the driver, from at most ``MOST`` labelled rows; the model is a few thousand terms
+at most 2**``BITS``, so it goes to the executors whole.
 
 Defined results: a null or empty text, or one without known terms, has the score of w0; null labels are
-left out; a row whose id has several labels counts once for each; without both labels in the sample the
-score is (positives + 0.5) / (rows + 2) for all; null ids can't be labelled and are scored; an empty
+left out; a row whose id has several labels has their mean as its label; of rows with one id each counts;
+without both labels in the sample the score is (positives + 0.5) / (rows + 2) for all; null ids can't be
+labelled and are scored; equal texts have equal scores; texts are taken whole, however long; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -24,16 +27,18 @@ from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
 from quire.llm import _learn as L
+from quire.llm import _spark as S
 
 BITS = 20
-#: Labelled rows that the machine is fitted on, at most (in expectation: they are chosen by a hash).
+#: Labelled rows that the machine is fitted on, at most; beyond, a hash of id and place draws them.
 MOST = 20_000
 FACTORS = 8
 ROUNDS = 150
 RATE = 0.05
 DECAY = 0.1
-#: Least chi-square with one degree of freedom, and least rows, of a term that takes part.
-CHI, ROWS = 8.0, 3
+#: Least chi-square with one degree of freedom of a term that takes part, alone and beside another (where many more
+#: are tried), and least rows of a term.
+CHI, BESIDE, ROWS = 8.0, 30.0, 3
 _TERM = B.separators((0, 47), (58, 64), (91, 96), (123, 127))
 
 
@@ -69,15 +74,29 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _chosen(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Buckets whose presence goes with label 1."""
-    n, p = len(label), label.sum()
-    rows = np.bincount(bucket, minlength=1 << BITS).astype(float)
-    a = np.bincount(bucket, label[text], 1 << BITS)
+def _chi(a: np.ndarray, rows: np.ndarray, n: float, p: float) -> np.ndarray:
+    """Chi-square (with Yates' correction) of terms in ``rows`` of n texts, ``a`` of them of the p with label 1."""
     b, c = rows - a, p - a
     d = n - p - b
-    chi = n * np.clip(np.abs(a * d - b * c) - n / 2, 0, None) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    return np.flatnonzero((rows >= ROWS) & (chi >= CHI) & (a * d > b * c))
+    return n * np.clip(np.abs(a * d - b * c) - n / 2, 0, None) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+
+
+def _chosen(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Buckets whose presence goes with a label, among all texts or among those that hold a term that does."""
+    every, term = np.unique(bucket, return_inverse=True)
+    rows = np.bincount(term).astype(float)
+    alone = (rows >= ROWS) & (_chi(np.bincount(term, label[text]), rows, len(label), label.sum()) >= CHI)
+    found = [np.flatnonzero(alone)]
+    order = np.argsort(term, kind="stable")
+    heads, first = np.searchsorted(term[order], np.arange(len(every) + 1)), np.searchsorted(text, np.arange(len(label) + 1))
+    for k in found[0]:
+        own = text[order[heads[k] : heads[k + 1]]]
+        size = first[own + 1] - first[own]
+        at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        beside, place = np.unique(term[at], return_inverse=True)
+        n = np.bincount(place).astype(float)
+        found.append(beside[(n >= ROWS) & (n <= len(own) - ROWS) & (_chi(np.bincount(place, label[text[at]]), n, len(own), label[own].sum()) >= BESIDE)])
+    return every[np.unique(np.concatenate(found))]
 
 
 def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
@@ -119,8 +138,10 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST) -> Machine:
     """Fits on the texts of ``docs`` whose id has a label."""
-    chosen = L.sample(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna(), "_id", most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_label", "text")
+    rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col)).drop("_b")
+    labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("_label")).dropna().groupBy("id").agg(F.avg("_label").alias("_label"))
+    keys = S.written(rows.select("_f", "_r", "id").join(labelled, "id"), "labelled")
+    rows = L.fetched(rows.select("_f", "_r", "text"), L.sample(keys, most).select("_f", "_r", "_label")).select("_label", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,31 +150,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], names=["label", "terms"])
             B.release()
 
-    got = rows.mapInArrow(each, "label int, terms array<int>").toArrow().combine_chunks()
+    got = rows.mapInArrow(each, "label double, terms array<int>").toArrow().combine_chunks()
     label, held = got.column("label").to_numpy().astype(float), got.column("terms").combine_chunks()
     return fit(np.repeat(np.arange(len(label)), held.value_lengths().to_numpy().astype(np.int64)), held.flatten().to_numpy().astype(np.int64), label)
 
 
-def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score``, 0 to 1, beside them; a column of that name gives way."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score, 0 to 1, beside them; a column that is called like ``out_col`` gives way."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    place = docs.columns.index(text_col)
-    out = docs.withColumn("score", F.lit(0.0)).schema
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.value.scores(batch.num_rows, *terms(batch.column(place)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
-            B.release()
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        out = pa.array(model.value.scores(len(text), *terms(text)))
+        B.release()
+        return out
 
-    return docs.mapInArrow(each, out)
+    return docs.select(*S.every(docs.drop(out_col)), score(F.col(text_col)).alias(out_col))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels of a fifth of the ids are held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = L.held_out("doc_id", 5, 0)
     machine = train(docs, labels.filter(~out))
-    return scored(docs, machine).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs.select("doc_id", "text"), machine).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
