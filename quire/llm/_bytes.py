@@ -192,6 +192,30 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers packed: their bytes of equal weight side by side, then Zstandard."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def spread(data: bytes, kind: type) -> np.ndarray:
+    """What ``squeezed`` has packed."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def find(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x among the ascending values, and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return at, ordered[at] == x
+
+
 def release() -> None:
     """Gives memory that was freed back to the system: Spark keeps its Python workers, and their heaps, for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -1,16 +1,23 @@
 """LM scoring: prediction by partial matching over bytes, and a smoothed unigram model of words as base.
 
-The model is a trie of byte contexts of up to ``ORDER`` bytes with the counts of the byte that follows
-each, over all training texts. A byte's probability is found at the longest context that has seen it;
-each context that has not costs its escape probability, distinct / (total + distinct), and the bytes it
-has seen are excluded from the shorter ones. Below the empty context all bytes left are equally likely.
-A text is its bytes and an end, byte 0; contexts reach back to four such bytes before the text.
+The model is a trie of byte contexts of up to ``ORDER`` bytes over all training texts. A coding looks a byte
+up in its longest context. There a byte that was seen n times among ``total`` has (n - ``DISCOUNT``) / total,
+and the escape has ``DISCOUNT`` * distinct / total; after an escape the bytes that the context has seen are
+excluded from the next shorter one. Below the empty context all bytes left are equally likely. Shorter
+contexts count a byte once for each different byte before the context (updates are excluded where a longer
+context foresees the byte), so what is common in one place only isn't taken for common anywhere.
+
+Codings that start from contexts of each of ``STARTS`` bytes run side by side, and a byte's probability is
+their mean. The weights adapt within the text: they follow the roots of the probabilities that the codings
+gave the ``RECENT`` bytes before. A text is its bytes and an end, byte 0; contexts reach back to such bytes
+before the text.
 
 The trie is never in one place. Each block of texts sends its distinct words, and its distinct strings of
 ``ORDER`` + 1 bytes, with their counts in training texts, to shards: words by their hash, strings by the
-last two bytes of their context. A shard adds up the counts, so it has the whole trie below its two
-bytes, and answers each block with what its words count and what its strings cost. Only the counts of
-pairs of bytes, at most 65,536, go to all shards.
+last three bytes of their context. A shard adds up the counts, so it has the whole trie below its three
+bytes, and answers each block, in the order of what it sent, with what its words count and what its strings
+cost. Only the counts of strings of three bytes, 2**24 at most (some 100 MB at worst, about one on texts in
+a few languages), go to all shards.
 
 Defined results: null text is empty and has the end as its only token; a byte 0 inside a text is the same
 symbol as the end; a null id is never held out; rows may repeat; without training texts all words are
@@ -31,13 +38,25 @@ from quire.llm import _learn as L
 from quire.llm import _repeats as R
 from quire.llm import _spark as S
 
-#: Bytes of the longest context.
-ORDER = 4
+#: Bytes of the longest context, and of those that codings start from.
+ORDER = 6
+STARTS = (4, 6)
+#: What is taken from each count for the escape.
+DISCOUNT = 0.25
+#: Bytes that the weights of the codings follow.
+RECENT = 16
+#: Bytes of a context that a shard has in common.
+COMMON = 3
 #: Rows of a block: large ones share more words and strings.
 BLOCK_ROWS = 2048
 
 _SENT = "shard int, kind int, _f long, _b long, keys binary, counts binary"
-_TOLD = "_f long, _b long, kind int, keys binary, counts binary, costs binary, total long, distinct long"
+_TOLD = "_f long, _b long, shard int, kind int, first binary, second binary, total long, distinct long"
+
+
+def _mask(size: int) -> np.uint64:
+    """The bits of a context of so many bytes and the byte after it."""
+    return np.uint64((1 << 8 * (size + 1)) - 1)
 
 
 def strings(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,87 +111,126 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard(kind: int, keys: np.ndarray, n: int) -> np.ndarray:
-    return B.shard_of(B.mix(keys >> np.uint64(8) & np.uint64(0xFFFF)) if kind else keys, n)
-
+    return B.shard_of(B.mix(keys >> np.uint64(8) & _mask(COMMON - 1)) if kind else keys, n)
 
-class _Level:
-    """Contexts of one length: for each, total and distinct symbols; and each symbol's count."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, size: int):
-        self.symbols, self.counts = _counted(keys & np.uint64((1 << 8 * (size + 1)) - 1), counts)
-        self.contexts, self.owner = np.unique(self.symbols >> np.uint64(8), return_inverse=True)
-        self.total = np.bincount(self.owner, self.counts, len(self.contexts))
-        self.distinct = np.bincount(self.owner, self.counts > 0, len(self.contexts))
-        self.mask = np.uint64((1 << 8 * (size + 1)) - 1)
+class Level:
+    """Contexts of one length. ``symbols`` are contexts with a byte that was seen after them, ascending, with one or
+    more kinds of counts."""
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.symbols, keys & self.mask)]
+    def __init__(self, size: int, symbols: np.ndarray, *counts: np.ndarray):
+        self.mask, self.symbols, self.counts = _mask(size), symbols, [c.astype(np.float64) for c in counts]
+        self.contexts, self.owner = np.unique(symbols >> np.uint64(8), return_inverse=True)
+        self.totals = [np.bincount(self.owner, c, len(self.contexts)) for c in self.counts]
+        self.distinct = np.bincount(self.owner, minlength=len(self.contexts)).astype(np.float64)
 
-    def context(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.contexts, (keys & self.mask) >> np.uint64(8))
+    def below(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the contexts of ``size`` bytes, one fewer: sums of the last counts here, and numbers of symbols here."""
+        keys = self.symbols & _mask(size)
+        order = np.argsort(keys)
+        keys = keys[order]
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[head], np.add.reduceat(self.counts[-1][order], head) if len(head) else self.counts[-1], np.diff(np.append(head, len(keys)))
 
 
-def costs(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 of the probability of the last byte of each string in the context of its other bytes.
-
-    ``keys`` are ascending strings, all that share the last two bytes of their contexts among them, with
-    training ``counts``; ``pairs`` has the counts of each pair of bytes (256 x 256).
-    """
+def coded(start: int, keys: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 of the probability of the last byte of each string of ``start`` + 1 bytes, from the context of all before
+    it. ``levels``, by the length of contexts, have the counts of updates first and the plain ones last."""
     out = np.zeros(len(keys))
     left = np.arange(len(keys))
-    above: _Level | None = None
-    last = (keys & np.uint64(0xFF)).astype(np.int64)
-    before = (keys >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64)
-
-    def step(n: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> None:
-        """Codes what has a count; the rest escapes where anything is left to escape from."""
-        nonlocal left
-        seen, some = n > 0, total > 0
-        out[left[seen]] += np.log10(n[seen] / (total[seen] + distinct[seen]))
-        esc = some & ~seen
-        out[left[esc]] += np.log10(distinct[esc] / (total[esc] + distinct[esc]))
-        left = left[~seen]
-
-    for size in range(ORDER, 1, -1):
-        level = _Level(keys, counts, size)
-        own, at = keys[left], level.context(keys[left])
-        total, distinct = level.total[at].copy(), level.distinct[at].copy()
-        if above is not None:
+    above: Level | None = None
+    for size in range(start, -1, -1):
+        level, plain = levels[size], size == start
+        counts, totals = (level.counts[-1], level.totals[-1]) if plain else (level.counts[0], level.totals[0])
+        own = keys[left]
+        at, known = B.find((own & level.mask) >> np.uint64(8), level.contexts)
+        total, distinct = (np.where(known, x[at], 0.0) if len(x) else np.zeros(len(own)) for x in (totals, level.distinct))
+        if above is not None and len(above.symbols):
             # what the longer context has seen is excluded here
-            gone = np.bincount(above.owner, np.where(above.counts > 0, level.count(above.symbols), 0), len(above.contexts))
-            up = above.context(own)
-            total -= gone[up]
-            distinct -= above.distinct[up]
-        step(level.count(own), total, distinct)
-        above = level
-    single = pairs.sum(axis=0)
-    own, a, s = keys[left], before[left], last[left]
-    up = above.context(own)
-    gone = np.bincount(above.owner, np.where(above.counts > 0, pairs[(above.symbols >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64), (above.symbols & np.uint64(0xFF)).astype(np.int64)], 0), len(above.contexts))
-    step(pairs[a, s], pairs.sum(axis=1)[a] - gone[up], (pairs > 0).sum(axis=1)[a] - above.distinct[up])
-    a, s = before[left], last[left]
-    step(single[s], single.sum() - ((pairs > 0) @ single)[a], (single > 0).sum() - (pairs > 0).sum(axis=1)[a])
-    out[left] -= np.log10(max(1, 256 - int((single > 0).sum())))
+            gone = np.bincount(above.owner, counts[B.find(above.symbols & level.mask, level.symbols)[0]], len(above.contexts))
+            up, longer = B.find((own & above.mask) >> np.uint64(8), above.contexts)
+            total, distinct = total - np.where(longer, gone[up], 0.0), distinct - np.where(longer, above.distinct[up], 0.0)
+        at, seen = B.find(own & level.mask, level.symbols)
+        out[left[seen]] += np.log10((counts[at[seen]] - DISCOUNT) / total[seen])
+        escape = ~seen & (distinct > 0)
+        out[left[escape]] += np.log10(DISCOUNT * distinct[escape] / total[escape])
+        left, above = left[~seen], level
+    out[left] -= np.log10(max(1, 256 - len(levels[0].symbols)))
+    return out
+
+
+def costs(keys: np.ndarray, counts: np.ndarray, low: list[Level]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``STARTS`` the ascending distinct strings of so many bytes and one more, and what each costs.
+
+    ``keys`` are ascending strings, all that share the last ``COMMON`` bytes of their contexts among them, with
+    training ``counts``; ``low`` are the levels of shorter contexts over all texts.
+    """
+    levels: list[Level] = [Level(ORDER, keys[counts > 0], counts[counts > 0])]
+    for size in range(ORDER - 1, COMMON - 1, -1):
+        symbols, plain, updates = levels[0].below(size)
+        levels.insert(0, Level(size, symbols, updates, plain))
+    levels = [*low, *levels]
+    out = []
+    for start in STARTS:
+        own = np.unique(keys & _mask(start)) if start < ORDER else keys
+        out.append((own, coded(start, own, levels)))
     return out
 
 
-def _pairs(rows: DataFrame) -> np.ndarray:
-    """Counts of each pair of bytes in the training texts, their paddings and ends included."""
+def low_levels(rows: DataFrame) -> list[Level]:
+    """Levels of contexts of fewer than ``COMMON`` bytes, from all training texts (``rows`` with learn and text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 16, np.int64)
+        held, size = [np.empty(0, np.uint64)], 0
         for batch in batches:
             whole, bounds = B.buffer(batch.column("text"))
             for i, j in B.pieces(bounds):
                 for number, _ in strings(whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
-                    table += np.bincount((number & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
-
-    got = rows.filter("learn").select("text").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << 16, np.int64)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(256, 256)
+                    held.append(np.unique(number & _mask(COMMON)))
+                    size += len(held[-1])
+                    if size > 1 << 22:
+                        held = [np.unique(np.concatenate(held))]
+                        size = len(held[0]) // 2
+            B.release()
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).astype(np.int64))], names=["string"])
+
+    found = rows.filter("learn").select("text").mapInArrow(each, "string long").distinct()
+    symbol = F.col("string").bitwiseAND(F.lit(int(_mask(COMMON - 1)))).alias("symbol")
+    got = found.groupBy(symbol).agg(F.count("*").alias("n")).toArrow()
+    order = np.argsort(got.column("symbol").to_numpy())
+    levels = [Level(COMMON - 1, got.column("symbol").to_numpy()[order].astype(np.uint64), got.column("n").to_numpy()[order])]
+    for size in range(COMMON - 2, -1, -1):
+        symbols, _, updates = levels[0].below(size)
+        levels.insert(0, Level(size, symbols, updates))
+    return levels
+
+
+def blended(cost: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """log10 of each byte's probability from the ``cost`` of each coding (a row each); ``text`` ascends."""
+    sums = np.zeros((len(cost), cost.shape[1] + 1))
+    np.cumsum(cost, axis=1, out=sums[:, 1:])
+    at = np.arange(cost.shape[1])
+    since = np.maximum(at - RECENT, np.searchsorted(text, text))
+    weight = (sums[:, at] - sums[:, since]) / 2
+    weight -= weight.max(axis=0)
+    weight = 10**weight
+    return np.log10((weight * 10**cost).sum(axis=0) / weight.sum(axis=0))
+
+
+def _in_shards(kind: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending keys by shard, and how many each shard has."""
+    owner = _shard(kind, keys, n)
+    return np.argsort(owner, kind="stable"), np.bincount(owner, minlength=n)
+
+
+def _block_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and strings of a block's texts."""
+    words, found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for i, j in B.pieces(offs):
+        part, bounds = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        words.append(np.unique(_words(part, bounds)[0]))
+        found += [np.unique(number) for number, _ in strings(part, bounds)]
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(found))
 
 
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +239,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     n = S.shards(docs.sparkSession)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
     rows = S.row_keyed(docs, BLOCK_ROWS, id=F.col(id_col), text=F.col(text_col), learn=~held_out)
-    pairs = docs.sparkSession.sparkContext.broadcast(_pairs(rows))
+    low = docs.sparkSession.sparkContext.broadcast(low_levels(rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,33 +254,37 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                     found[1].extend(_tallied(number, own[text]) for number, text in strings(buf, offs))
                 for kind, got in enumerate(found):
                     keys, counts = _counted(*map(np.concatenate, zip(*got, strict=True)))
-                    owner = _shard(kind, keys, n)
-                    order = np.argsort(owner, kind="stable")
-                    cut = np.append(0, np.cumsum(np.bincount(owner, minlength=n)))
+                    order, size = _in_shards(kind, keys, n)
+                    cut = np.append(0, np.cumsum(size))
                     keys, counts = keys[order], counts[order].astype(np.uint32)
-                    some = np.flatnonzero(np.diff(cut))
+                    some = np.flatnonzero(size)
                     same = lambda x, t: pa.array(np.full(len(some), x), t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), same(kind, pa.int32()), same(f, pa.int64()), same(b, pa.int64()), *(pa.array([x[a:z].tobytes() for a, z in zip(cut[some], cut[some + 1], strict=True)], pa.binary()) for x in (keys, counts))],
-                        names=["shard", "kind", "_f", "_b", "keys", "counts"],
-                    )
+                    ends = list(zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True))
+                    steps = [B.squeezed(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in ends]
+                    times = [B.squeezed(counts[a:z]) for a, z in ends]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), same(kind, pa.int32()), same(f, pa.int64()), same(b, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["shard", "kind", "_f", "_b", "keys", "counts"])
                 B.release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
+        shard = 0
         for x in (x for batch in batches for x in batch.to_pylist()):
-            held[x["kind"]].append((x["_f"], x["_b"], np.frombuffer(x["keys"], np.uint64), np.frombuffer(x["counts"], np.uint32)))
+            shard = x["shard"]
+            held[x["kind"]].append((x["_f"], x["_b"], np.cumsum(B.spread(x["keys"], np.uint64), dtype=np.uint64), B.spread(x["counts"], np.uint32)))
         for kind, sent in enumerate(held):
             if not sent:
                 continue
             keys, counts = _counted(np.concatenate([k for _, _, k, _ in sent]), np.concatenate([c for *_, c in sent]).astype(np.int64))
-            value = costs(keys, counts, pairs.value).astype(np.float32) if kind else counts.astype(np.uint32)
+            tables = costs(keys, counts, low.value) if kind else [(keys, counts)]
             total, distinct = int(counts.sum()), int((counts > 0).sum())
             for f, b, k, _ in sent:
-                told = value[np.searchsorted(keys, k)].tobytes()
-                columns = [f, b, kind, k.tobytes(), None if kind else told, told if kind else None, None if kind else total, None if kind else distinct]
+                if kind:
+                    told = [B.squeezed(value[np.searchsorted(own, np.unique(k & _mask(start)))].astype(np.float32)) for start, (own, value) in zip(STARTS, tables, strict=True)]
+                else:
+                    told = [B.squeezed(counts[np.searchsorted(keys, k)].astype(np.uint64)), None]
+                columns = [f, b, shard, kind, *told, None if kind else total, None if kind else distinct]
                 total = distinct = 0
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=_TOLD.replace(",", "").split()[::2])
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=_TOLD.replace(",", "").split()[::2])
 
     sent = rows.select("_f", "_b", "text", "learn").mapInArrow(send, _SENT)
     told = S.written(S.by_shard(sent, n, answer, _TOLD), "lm")
@@ -231,15 +293,23 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     scale = np.log10(tokens + int(distinct or 0) + (texts > 0) + 1)
     schema = f"id {kind_of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    def ordered(replies: list[dict], kind: int, column: str, keys: np.ndarray, t: type) -> np.ndarray:
+        """What the shards have told about ascending keys."""
+        parts = [B.spread(x[column], t) for x in sorted((x for x in replies if x["kind"] == kind), key=lambda x: x["shard"])]
+        out = np.empty(len(keys), t)
+        out[_in_shards(kind, keys, n)[0]] = np.concatenate(parts) if parts else 0
+        return out
+
     def finish(key: tuple, left: pa.Table, replies: pa.Table) -> pa.Table:
-        tables: list[tuple] = []
-        for kind, value, t in ((0, "counts", np.uint32), (1, "costs", np.float32)):
-            mine = [x for x in replies.select(["kind", "keys", value]).to_pylist() if x["kind"] == kind]
-            keys = np.frombuffer(b"".join(x["keys"] for x in mine), np.uint64)
-            order = np.argsort(keys)
-            tables.append((keys[order], np.frombuffer(b"".join(x[value] for x in mine), t)[order]))
-        (words, counts), (known, cost) = tables
         whole, bounds = B.buffer(left.column("text"))
+        words, known = _block_keys(whole, bounds)
+        told = replies.to_pylist()
+        counts = ordered(told, 0, "first", words, np.uint64)
+        cost = np.empty((len(STARTS), len(known)), np.float32)
+        for k, (start, column) in enumerate(zip(STARTS, ("first", "second"), strict=True)):
+            short = np.unique(known & _mask(start))
+            cost[k] = ordered(told, 1, column, short, np.float32)[np.searchsorted(short, known & _mask(start))]
+        del told
         n_words, n_known, base, score = np.diff(bounds) * 0, np.diff(bounds) * 0, np.zeros(left.num_rows), np.zeros(left.num_rows)
         for i, j in B.pieces(bounds):
             buf, offs = whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
@@ -248,8 +318,13 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             n_words[i:j] = np.bincount(text, minlength=j - i)
             n_known[i:j] = np.bincount(text, c > 0, j - i)
             base[i:j] = np.bincount(text, np.log10(c + 1), j - i)
+            before, of = np.empty((len(STARTS), 0)), np.empty(0, np.int64)
             for number, text in strings(buf, offs):
-                score[i:j] += np.bincount(text, cost[np.searchsorted(known, number)], j - i)
+                some, place = np.unique(number, return_inverse=True)
+                now = np.concatenate([before, cost[:, np.searchsorted(known, some)[place]]], axis=1)
+                text = np.append(of, text)
+                score[i:j] += np.bincount(text[len(of) :], blended(now, text)[len(of) :], j - i)
+                before, of = now[:, -RECENT:], text[-RECENT:]
         n_words += 1
         base += np.log10(texts + 1) - n_words * scale
         return pa.table({"id": left.column("id"), "held_out": pa.array(~left.column("learn").to_numpy()), "n_tokens": n_words, "n_known": n_known + (texts > 0), "train_tokens": np.full(left.num_rows, tokens), "base_score": base, "score": score})

@@ -99,27 +99,54 @@ def components(docs, bits=4):
     return [(i, f"{prints[k]:016x}", least[find(k)]) for k, (i, _) in enumerate(docs)]
 
 
-def ppm(texts, train, order=4):
-    """log10 probability of each text's bytes and end."""
-    seen = [defaultdict(Counter) for _ in range(order + 1)]
+def ppm(texts, train, starts=(4, 6), discount=0.25, recent=16):
+    """log10 probability of each text's bytes and end: codings from contexts of each of ``starts`` bytes, blended."""
+    order = max(starts)
+    plain = [defaultdict(Counter) for _ in range(order + 1)]
     pad = lambda t: bytes(order) + (t or "").encode() + b"\0"
     for t in train:
         p = pad(t)
         for i in range(order, len(p)):
             for k in range(order + 1):
-                seen[k][p[i - k : i]][p[i]] += 1
-
-    def cost(g):
+                plain[k][p[i - k : i]][p[i]] += 1
+    # a shorter context counts a byte once for each byte that was seen before the context
+    updates = [defaultdict(Counter) for _ in range(order)]
+    for k in range(order):
+        for context, seen in plain[k + 1].items():
+            for byte in seen:
+                updates[k][context[1:]][byte] += 1
+
+    def cost(g, start):
         gone, out = set(), 0.0
-        for k in range(order, -1, -1):
-            left = {s: n for s, n in seen[k][g[order - k : order]].items() if s not in gone}
-            if not left:
-                continue
-            total, distinct = sum(left.values()), len(left)
-            if g[-1] in left:
-                return out + math.log10(left[g[-1]] / (total + distinct))
-            out += math.log10(distinct / (total + distinct))
+        for k in range(start, -1, -1):
+            seen = (plain if k == start else updates)[k].get(g[order - k : order], {})
+            left = {s: n for s, n in seen.items() if s not in gone}
+            if left:
+                total = sum(left.values())
+                if g[-1] in left:
+                    return out + math.log10((left[g[-1]] - discount) / total)
+                out += math.log10(discount * len(left) / total)
             gone |= set(left)
         return out - math.log10(256 - len(gone))
 
-    return [sum(cost(p[i - order : i + 1]) for i in range(order, len(p))) for p in map(pad, texts)]
+    def score(p):
+        done, out = [], 0.0
+        for i in range(order, len(p)):
+            now = [cost(p[i - order : i + 1], s) for s in starts]
+            weight = [10 ** (sum(x[k] for x in done[-recent:]) / 2) for k in range(len(starts))]
+            out += math.log10(sum(w * 10**c for w, c in zip(weight, now, strict=True)) / sum(weight))
+            done.append(now)
+        return out
+
+    return [score(p) for p in map(pad, texts)]
+
+
+def lm(docs, held):
+    """All columns of the scoring operator; ``held`` tells whether an id is held out."""
+    words = lambda t: [w for w in spaced((t or "").translate(LOW))] + ["end of text"]
+    train = [t for i, t in docs if not held(i)]
+    count = Counter(w for t in train for w in words(t))
+    n, v = sum(count.values()), len(count)
+    base = lambda t: sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words(t))
+    scores = ppm([t for _, t in docs], train)
+    return [(i, held(i), len(words(t)), sum(count[w] > 0 for w in words(t)), n, base(t), s) for (i, t), s in zip(docs, scores, strict=True)]

@@ -88,15 +88,37 @@ def test_links_of_large_postings():
 
 
 def test_lm_scoring(docs, rows):
-    out = L.held_out("doc_id", 7, 2)
-    got = lm_scoring.lm_score(docs, out)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    scores = brute.ppm([t for _, t in rows], [t for i, t in rows if not held(i)])
-    want = [(i, held(i), len(brute.spaced(t)) + 1, round(s, 3)) for (i, t), s in zip(rows, scores, strict=True)]
-    got = [(r[0], r[1], r[2], r[3]) for r in got.select("doc_id", "held_out", "n_tokens", "score").collect()]
-    key = lambda r: (repr(r[:3]), r[3])
-    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5, abs=2e-3)
+    got = lm_scoring.lm_score(docs, L.held_out("doc_id", 7, 2))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (repr(r[:5]), r[5], r[6])
+    for a, b in zip(sorted(map(tuple, got.collect()), key=key), sorted(brute.lm(rows, held), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6, abs=1e-4)
+
+
+def test_lm_codings_are_distributions():
+    import numpy as np
+
+    r = random.Random(9)
+    text = pa.array(["".join(r.choice("abc d") for _ in range(300)) for _ in range(5)])
+    found = np.concatenate([x for x, _ in lm_scoring.strings(*B.buffer(text))])
+    levels = [lm_scoring.Level(lm_scoring.ORDER, *np.unique(found, return_counts=True))]
+    for size in range(lm_scoring.ORDER - 1, -1, -1):
+        symbols, plain, updates = levels[0].below(size)
+        levels.insert(0, lm_scoring.Level(size, symbols, updates, plain))
+    for start in lm_scoring.STARTS:
+        for context in [*np.unique(found >> np.uint64(8))[:50].tolist(), 12345]:
+            strings = (np.uint64(context) << np.uint64(8) | np.arange(256, dtype=np.uint64)) & lm_scoring._mask(start)
+            assert (10 ** lm_scoring.coded(start, strings, levels)).sum() == pytest.approx(1)
+
+
+def test_squeezed_numbers_come_back():
+    import numpy as np
+
+    for kind in (np.uint64, np.uint32, np.float32):
+        for n in (0, 1, 1000):
+            x = np.arange(n).astype(kind) * 3
+            assert (B.spread(B.squeezed(x), kind) == x).all()
 
 
 def test_lm_scoring_without_training(docs):
