@@ -1,17 +1,19 @@
 """WARC archives in seekable Zstandard bundles.
 
-Every task writes one bundle into the shared folder. Records are grouped into independent Zstandard
-frames of about ``FRAME`` bytes; a seek table in a skippable frame at the end gives the frames' sizes.
-The index maps each record to its bundle, its frame and its offset inside the frame, so a reader
+Tasks write bundles of up to about ``BUNDLE`` bytes of records into the shared folder. Records are grouped into
+independent Zstandard frames of about ``FRAME`` bytes; a seek table in a skippable frame at the end gives the frames'
+sizes. The index maps each record to its bundle, its frame and its offset inside the frame, so a reader
 fetches the footer and one frame, not the bundle. A bundle's name holds a random part, and only the index says
-which bundles count: a task that is run again leaves at most an orphan.
+which bundles count: a task that is run again leaves at most an orphan. Reading deals runs of ``RUN`` neighbouring
+frames to tasks of about ``TASK`` bytes of records; a task holds one frame at a time.
 
 Payloads are UTF-8 texts. Of records with equal payloads of at least ``LEAST`` bytes, the one with the
 smallest id is a response and the others are revisits that refer to it; smaller ones are responses.
 
 Defined results: a null payload is empty; a null id counts as larger than all and is written without
-one; of rows with equal ids and payloads one is the response; a null url is left out; an empty table
-gives no records; other columns are ignored.
+one; of rows with equal ids and payloads one is the response; a null url is left out; a record longer than a frame
+has a frame of its own; a payload that was damaged is an error; an empty table gives no records; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from quire.llm import _spark as S
 
 #: Bytes of records in a frame, about; a longer record makes a frame alone.
 FRAME = 1 << 17
+#: Bytes of records in a bundle, about, and in a task that reads; neighbouring frames that one task reads.
+BUNDLE, TASK, RUN = 1 << 30, 1 << 25, 16
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 LEVEL = 3
@@ -141,19 +145,22 @@ def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
     """Writes the rows of ``record_kinds`` as bundles in ``folder``; the index, as a table in the shared folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = writer = None
-        for batch in batches:
+        writer, name, size = None, "", 0
+        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
             rows = []
-            for x in batch.to_pylist():
+            for x in part.to_pylist():
                 if writer is None:
                     store, path = fs.FileSystem.from_uri(folder)
                     store.create_dir(path, recursive=True)
-                    name = f"{uuid.uuid4().hex}.warc.zst"
+                    name, size = f"{uuid.uuid4().hex}.warc.zst", 0
                     writer = BundleWriter(store.open_output_stream(f"{path}/{name}", compression=None))
                 data = _bytes_of(x["record"], x["id"], x["url"], x["payload"], x["digest"], x["bytes"], x["source"])
                 rows.append((x["record"], name, *writer.add(data), len(data)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["record", "bundle", "frame", "at", "length"])
+                size += len(data)
+                if size >= BUNDLE:
+                    writer.close()
+                    writer = None
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["record", "bundle", "frame", "at", "length"])
         if writer is not None:
             writer.close()
 
@@ -172,28 +179,47 @@ def parse_record(data: bytes) -> dict:
     return out
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
+_READ = [("record", "string"), ("id", "string"), ("url", "string"), ("record_type", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "string"), ("payload", "binary")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records at the places that ``index`` (or some of its rows) gives: id, url, record_type, payload_bytes,
-    payload_digest, refers_to (ids as strings) and payload. A payload that doesn't match its digest is an error."""
-    schema = "record string, id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
+    payload_digest, refers_to (ids as strings) and, if wanted, payload. A payload that doesn't match its digest is an error."""
+    columns = _READ if payloads else _READ[:-1]
 
-    def read(rows: pa.Table) -> pa.Table:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
-        out, frame, data = [], -1, b""
-        with store.open_input_file(f"{path}/{rows.column('bundle')[0].as_py()}") as file:
-            reader = BundleReader(file)
-            for x in sorted(rows.to_pylist(), key=lambda x: (x["frame"], x["at"])):
-                if x["frame"] != frame:
-                    frame, data = x["frame"], reader.frame(x["frame"])
-                r = parse_record(data[x["at"] : x["at"] + x["length"]])
-                digest, size = r["warc-payload-digest"].removeprefix("sha256:"), int(r["x-payload-length"])
-                if r["payload"] is not None and (hashlib.sha256(r["payload"]).hexdigest() != digest or len(r["payload"]) != size):
-                    raise ValueError(f"payload of {r['warc-record-id']} doesn't match its digest")
-                out.append((x["record"], r.get("x-page-id"), r.get("warc-target-uri"), r["warc-type"], size, digest, r.get("x-refers-to-page-id"), r["payload"]))
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["record", "id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-
-    return index.groupBy("bundle").applyInArrow(read, schema)
+        now, file, reader, frame, data = "", None, None, -1, b""
+        out: list[tuple] = []
+        for x in (x for batch in batches for k in range(0, batch.num_rows, 1024) for x in batch.slice(k, 1024).to_pylist()):
+            if (x["bundle"], x["frame"]) != (now, frame):
+                if out:
+                    yield _records(out, columns)
+                    out = []
+                if x["bundle"] != now:
+                    if file is not None:
+                        file.close()
+                    now, file = x["bundle"], store.open_input_file(f"{path}/{x['bundle']}")
+                    reader = BundleReader(file)
+                frame, data = x["frame"], reader.frame(x["frame"])
+            r = parse_record(data[x["at"] : x["at"] + x["length"]])
+            digest, size = r["warc-payload-digest"].removeprefix("sha256:"), int(r["x-payload-length"])
+            if r["payload"] is not None and (hashlib.sha256(r["payload"]).hexdigest() != digest or len(r["payload"]) != size):
+                raise ValueError(f"payload of {r['warc-record-id']} doesn't match its digest")
+            out.append((x["record"], r.get("x-page-id"), r.get("warc-target-uri"), r["warc-type"], size, digest, r.get("x-refers-to-page-id"), r["payload"])[: len(columns)])
+        if out:
+            yield _records(out, columns)
+        if file is not None:
+            file.close()
+
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.withColumn("run", F.floor(F.col("frame") / RUN)).repartition(max(1, round(total / TASK)), "bundle", "run")
+    return dealt.sortWithinPartitions("bundle", "frame", "at").drop("run").mapInArrow(read, ", ".join(f"{c} {t}" for c, t in columns))
+
+
+def _records(rows: list[tuple], columns: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[t]) for x, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)], names=[c for c, _ in columns])
 
 
 def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -206,4 +232,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = S.table_path(spark, "warc")
     kind = pages.schema["page_id"].dataType
-    return read_archives(archive(pages, folder), folder).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return read_archives(archive(pages, folder), folder, payloads=False).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

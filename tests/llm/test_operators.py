@@ -181,6 +181,40 @@ def test_warc(spark, tmp_path):
     assert one.payload is None or len(one.payload) == one.payload_bytes
 
 
+def test_warc_of_small_bundles_and_long_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 1 << 18)
+    monkeypatch.setattr(warc, "TASK", 1 << 17)
+    r = random.Random(5)
+    html = ["".join(r.choices("abc <p>é", k=n)) for n in [200] * 300 + [300_000, 140_000] + [1000] * 200]
+    pages = spark.createDataFrame(list(enumerate([*html, *html[:50]])), "page_id long, html string").withColumn("url", F.lit("u")).repartition(3)
+    index = warc.archive(pages, str(tmp_path / "w"))
+    assert index.select("bundle").distinct().count() > 3 and index.filter(f"length > {warc.FRAME}").count() == 2
+    read = warc.read_archives(index, str(tmp_path / "w"))
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
+    got = {int(x.id): x for x in read.collect()}
+    assert sorted(got) == list(range(len(html) + 50))
+    for k, t in enumerate(html):
+        assert got[k].payload.decode() == t and got[k].refers_to is None
+    assert all(got[len(html) + k].refers_to == str(k) for k in range(50))
+
+
+def test_warc_tells_of_damage(spark, tmp_path):
+    import zstandard
+
+    pages = spark.createDataFrame([(1, "u", "plain text " * 30)], "page_id long, url string, html string")
+    index = warc.archive(pages, str(tmp_path / "w")).cache()
+    place = index.first()
+    path = f"{tmp_path}/w/{place.bundle}"
+    with open(path, "rb") as file:
+        data = zstandard.ZstdDecompressor().decompress(file.read())
+    with open(path, "wb") as file:
+        writer = warc.BundleWriter(file)
+        writer.add(data.replace(b"plain", b"plane"))
+        writer.close()
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.read_archives(index, str(tmp_path / "w")).collect()
+
+
 def test_empty_tables(spark, empty, tmp_path):
     for got in (
         suffix_dedup.suffix_dedup(empty), substring_dedup.substring_dedup(empty), simhash.near_duplicates(empty), lm_scoring.lm_score(empty, F.lit(False)),
