@@ -39,15 +39,16 @@ END = 1
 SHARD = 32768
 #: Words whose ids a worker process remembers, about 100 MB; then it starts anew.
 REMEMBERED = 600_000
-TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
 _PIECES = "id {id}, piece int, start long, length long, ids_crc32 long, row long"
 
 
-def tokenizer_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
+def tokenizer_path(name: str = VOCABULARY) -> str:
     """Place of a public vocabulary file."""
-    return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 #: Words whose runs are told by their bytes: ASCII without controls and apostrophes.
@@ -155,12 +156,13 @@ class WordIds:
         return out
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int = LENGTH) -> DataFrame:
-    """A row for each piece: id, piece, start, length, ids_crc32, and row (a random number of the text)."""
+def pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """A row for each piece: id, piece, start, length, ids_crc32, and row (a random number of the text). Without a
+    path every worker takes the public vocabulary that is installed with it."""
     schema = _PIECES.format(id=docs.schema[id_col].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds.shared(path)
+        ids = WordIds.shared(path or tokenizer_path())
         for batch in batches:
             whole, bounds = B.buffer(batch.column("text"))
             for i, j in B.pieces(bounds):
@@ -255,8 +257,9 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row for each piece of each text: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, id_col, text_col, path or tokenizer_path(), length)
-    n = max(1, round(docs.count() / SHARD))
+    # written, so that texts are tokenised once, and the shards' number follows the number of pieces
+    cut = S.written(pieces(docs, id_col, text_col, path, length), "pieces")
+    n = max(1, round(cut.count() / SHARD))
     out = f"{_PIECES.format(id=docs.schema[id_col].dataType.simpleString())}, sequence_id long, offset long"
 
     def fill(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
@@ -264,7 +267,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         sequence, offset = best_two_fit(got["length"].to_numpy(), length)
         return got.drop(columns="shard").assign(sequence_id=sequence * n + key[0], offset=offset)
 
-    dealt = cut.withColumn("shard", F.pmod("row", F.lit(n)))
+    # a long text's pieces go to several shards
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(n)))
     return dealt.groupBy("shard").applyInPandas(fill, out).drop("row").withColumnRenamed("id", id_col)
 
 
