@@ -150,3 +150,69 @@ def lm(docs, held):
     base = lambda t: sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words(t))
     scores = ppm([t for _, t in docs], train)
     return [(i, held(i), len(words(t)), sum(count[w] > 0 for w in words(t)), n, base(t), s) for (i, t), s in zip(docs, scores, strict=True)]
+
+
+def fingerprints(docs, rare=0.001, common=0.2, subsets=16, levels=4, least=4):
+    """id, n_chars, edited text, both fingerprints and both likenesses; the next of each row stands after it."""
+    from xxhash import xxh64_intdigest
+
+    texts = [t or "" for _, t in docs]
+    terms = lambda t: {xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w}
+    held = Counter(x for t in texts for x in terms(t))
+    lexicon = {x for x, n in held.items() if max(2, rare * len(texts)) <= n <= common * len(texts)}
+
+    def codes(text):
+        out = []
+        for level in range(levels):
+            dealt = defaultdict(list)
+            for x in terms(text) & lexicon:
+                dealt[(x >> (12, 16, 22, 30)[level]) % (subsets * 4**level)].append(x)
+            for k in range(subsets):
+                part = " ".join(f"{k << 56 | x & 2**56 - 1:X}" for x in sorted(dealt[k], key=lambda x: x & 2**56 - 1))
+                # the line is cut at the marks before the subsets, so blanks stay
+                part = f" {part} " if k < subsets - 1 else f" {part}"
+                out.append(f"{xxh64_intdigest(part.encode(), 42) & 0xFFFF:04x}" if dealt[k] else "----")
+        return out, sha(text.encode())[:16]
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        best = 0.0
+        for k in range(0, levels * subsets, subsets):
+            pairs = [(x, y) for x, y in zip(a[0][k : k + subsets], b[0][k : k + subsets], strict=True) if (x, y) != ("----", "----")]
+            best = max(best, sum(x == y for x, y in pairs) / max(least, len(pairs)))
+        return best
+
+    out = []
+    for k, (i, _) in enumerate(docs):
+        text, after = texts[k], texts[(k + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, new = codes(text), codes(edited)
+        out.append((i, len(text), edited, "".join(own[0]) + own[1], "".join(new[0]) + new[1], near(own, new), near(own, codes(after))))
+    return out
+
+
+def two_fit(lengths, size):
+    """Best-two-fit: the longest that fits, again and again; then the smallest gives way to the two that fill its gap best."""
+    left, bins = sorted(lengths), []
+    while left:
+        held, gap = [], size
+        while any(x <= gap for x in left):
+            x = max(x for x in left if x <= gap)
+            left.remove(x)
+            held.append(x)
+            gap -= x
+        while gap:
+            small = min(held)
+            pairs = [(a + b, a, b) for k, b in enumerate(left) for a in left[k + 1 :] if small < a + b <= gap + small]
+            if not pairs:
+                break
+            both, a, b = max(pairs)
+            held.remove(small)
+            for x in (a, b):
+                left.remove(x)
+            held += [a, b]
+            left = sorted([*left, small])
+            gap += small - both
+        bins.append(held)
+    return bins
