@@ -6,7 +6,7 @@ whatever the number of texts, and goes to all tasks as one value. A text's lexic
 hashed for each of ``SUBSETS`` subsets at each of ``LEVELS`` levels: a subset of level l holds a random
 1 / (``SUBSETS`` * 4**l) of the lexicon (dealt by bits of the terms' hashes), so short texts are told by the first
 level and long ones by the last. All subsets of a level are made in one pass: terms are sorted by subset, with a mark
-before each subset, and the line of them is cut at the marks. A fingerprint is 4 hexadecimal digits for each of these
+before each subset, and the line of them is cut at the marks; a hash is over the terms between two marks, in order. A fingerprint is 4 hexadecimal digits for each of these
 hashes ("----" where the text has no term of the subset), and 16 for the text itself, which tells texts apart that
 have no lexicon terms.
 
@@ -23,6 +23,8 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ RANGE = 1 << 26
 #: Bounds of ranges that are searched at once.
 STEP = 64
 #: Parts of the lexicon; a term is looked for in its part only.
-PARTS = 4096
+PARTS = 32768
 _NONE = "----"
 #: Low bits of a term's hash that subsets are hashed from; the bits that deal it to a subset of each level begin at 12.
 _LOW = (1 << 56) - 1
@@ -64,16 +66,31 @@ def _parts(words: DataFrame) -> DataFrame:
 
 
 def _codes(found: Column, level: int) -> Column:
-    """The hashes of a text's lexicon terms (ascending) for the subsets of a level, 4 hexadecimal digits each."""
+    """The hashes of a text's lexicon terms for the subsets of a level, 4 hexadecimal digits each."""
     # the levels take 4, 6, 8 and 10 bits
     shift, wide = 12 + level * (level + 3), SUBSETS * 4**level - 1
     subset = lambda t: F.shiftrightunsigned(t, shift).bitwiseAND(F.lit(wide))
     own = F.filter(found, lambda t: subset(t) < SUBSETS) if level else found
     dealt = F.transform(own, lambda t: F.shiftleft(subset(t), 56).bitwiseOR(t.bitwiseAND(F.lit(_LOW))))
-    marks = F.array(*[F.lit(k << 56).cast("long") for k in range(SUBSETS)])
-    line = F.array_join(F.transform(F.array_sort(F.concat(dealt, marks)), lambda v: F.when(v.bitwiseAND(F.lit(_LOW)) == 0, "|").otherwise(F.hex(v))), " ")
-    code = lambda part: F.lower(F.substring(F.hex(F.xxhash64(part).bitwiseAND(F.lit(0xFFFF)) + 0x10000), 2, 4))
-    return F.transform(F.slice(F.split(line, r"\|"), 2, SUBSETS), lambda part: F.when(F.length(part) < 2, _NONE).otherwise(code(part)))
+    marks = F.array(*[F.lit(k << 56).cast("long") for k in range(SUBSETS + 1)])
+
+    def at_marks(line: Column) -> Column:
+        return F.transform(marks, lambda m: F.array_position(line, m).cast("int"))
+
+    def code(line: Column, a: Column, z: Column) -> Column:
+        digits = F.substring(F.hex(F.xxhash64(F.slice(line, a + 1, z - a - 1)).bitwiseAND(F.lit(0xFFFF)) + 0x10000), 2, 4)
+        return F.when(z - a == 1, _NONE).otherwise(F.lower(digits))
+
+    def cut(line: Column) -> Column:
+        each = lambda at: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: code(line, F.get(at, k), F.get(at, k + 1)))
+        return _once(at_marks(line), each)
+
+    return _once(F.sort_array(F.concat(dealt, marks)), cut)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _fingerprint(rows: DataFrame, text: str, words: DataFrame, out: str) -> DataFrame:
@@ -81,7 +98,7 @@ def _fingerprint(rows: DataFrame, text: str, words: DataFrame, out: str) -> Data
     # the lexicon is one value of the whole query; used once, it is read in place and never copied into rows
     known = F.filter("_terms", lambda t: F.array_contains(F.get("_lexicon", F.pmod(t, F.lit(PARTS)).cast("int")), t))
     rows = rows.withColumn("_terms", terms(F.col(text)))
-    rows = rows.withColumn("_lexicon", _parts(words).scalar()).select(*rows.drop("_terms").columns, F.array_sort(known).alias("_found"))
+    rows = rows.withColumn("_lexicon", _parts(words).scalar()).select(*rows.drop("_terms").columns, known.alias("_found"))
     whole = F.array(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 16))
     return rows.withColumn(out, F.concat(*[_codes(F.col("_found"), k) for k in range(LEVELS)], whole)).drop("_found")
 

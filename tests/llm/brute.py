@@ -168,10 +168,10 @@ def fingerprints(docs, rare=0.001, common=0.2, subsets=16, levels=4, least=4):
             for x in terms(text) & lexicon:
                 dealt[(x >> (12, 16, 22, 30)[level]) % (subsets * 4**level)].append(x)
             for k in range(subsets):
-                part = " ".join(f"{k << 56 | x & 2**56 - 1:X}" for x in sorted(dealt[k], key=lambda x: x & 2**56 - 1))
-                # the line is cut at the marks before the subsets, so blanks stay
-                part = f" {part} " if k < subsets - 1 else f" {part}"
-                out.append(f"{xxh64_intdigest(part.encode(), 42) & 0xFFFF:04x}" if dealt[k] else "----")
+                value = 42
+                for x in sorted(x & 2**56 - 1 for x in dealt[k]):
+                    value = xxh64_intdigest((k << 56 | x).to_bytes(8, "little"), value)
+                out.append(f"{value & 0xFFFF:04x}" if dealt[k] else "----")
         return out, sha(text.encode())[:16]
 
     def near(a, b):
