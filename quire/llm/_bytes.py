@@ -192,6 +192,90 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
+# The five primes of XXH64, as published.
+_X1, _X2, _X3, _X4, _X5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _lane(x: np.ndarray) -> np.ndarray:
+    return _turned(x * _X2, 31) * _X1
+
+
+def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of the bytes of each span, all spans a step at a time."""
+    data = np.append(buf, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size, start = ends - starts, np.uint64(seed)
+    # by what is left after steps of 32 bytes, so that those that take a step stand together
+    order = np.argsort((31 - (size & 31)).astype(np.uint8), kind="stable")
+    at, size = starts[order], size[order]
+    left = size & 31
+    with np.errstate(over="ignore"):
+        h = np.full(len(at), start + _X5)
+        on = np.flatnonzero(size >= 32)
+        if len(on):
+            lanes = [np.full(len(on), x) for x in (start + _X1 + _X2, start + _X2, start, start - _X1)]
+            more, done = np.arange(len(on)), size[on] >> 5
+            for step in range(int(done.max())):
+                more = more[done[more] > step]
+                place = at[on[more]] + 32 * step
+                for k, v in enumerate(lanes):
+                    v[more] = _turned(v[more] + eight[place + 8 * k] * _X2, 31) * _X1
+            whole = sum(_turned(v, n) for v, n in zip(lanes, (1, 7, 12, 18), strict=True))
+            for v in lanes:
+                whole = (whole ^ _lane(v)) * _X1 + _X4
+            h[on] = whole
+            at = at + (size & ~31)
+        h += size.astype(np.uint64)
+        for k in range(3):
+            n = int(np.searchsorted(-left, -8 * (k + 1), "right"))
+            h[:n] = _turned(h[:n] ^ _lane(eight[at[:n] + 8 * k]), 27) * _X1 + _X4
+        rest = eight[np.minimum(at + (left & ~7), len(eight) - 1)]
+        four = left & 4
+        h = np.where(four > 0, _turned(h ^ (rest & np.uint64(0xFFFFFFFF)) * _X1, 23) * _X2 + _X3, h)
+        rest = rest >> (8 * four).astype(np.uint64)
+        for k in range(3):
+            h = np.where((left & 3) > k, _turned(h ^ (rest >> np.uint64(8 * k) & np.uint64(0xFF)) * _X5, 11) * _X1, h)
+        h = (h ^ h >> np.uint64(33)) * _X2
+        h = (h ^ h >> np.uint64(29)) * _X3
+        out = np.empty(len(h), np.uint64)
+        out[order] = h ^ h >> np.uint64(32)
+    return out
+
+
+def shingles(buf: np.ndarray, offs: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 and text number of every ``size`` consecutive words of the texts, A-Z in lower case and joined by one
+    space; a text of fewer words, but not none, is one shingle."""
+    # a space after each text, so that every word has a separator to keep
+    low = np.insert(lowered(buf), offs[1:], 32)
+    starts, ends, text = words(low, offs + np.arange(len(offs)), SPACED)
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    lens = ends - starts
+    after = np.cumsum(lens + 1)
+    keep = SPACED[low]
+    keep[ends] = True
+    line = low[keep]
+    line[after - 1] = 32
+    head = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    count = np.diff(np.append(head, n))
+    short = head[count < size]
+    first = np.append(np.flatnonzero(text[: n - size + 1] == text[size - 1 :]) if n >= size else np.empty(0, np.int64), short)
+    last = np.append(first[: len(first) - len(short)] + size - 1, short + count[count < size] - 1)
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    out = np.empty(len(first), np.uint64)
+    for a in range(0, len(first), 1 << 14):
+        f, z = first[a : a + (1 << 14)], last[a : a + (1 << 14)]
+        base = int(after[f[0]] - lens[f[0]] - 1)
+        out[a : a + (1 << 14)] = xxh64(line[base : after[z[-1]]], (after - lens - 1)[f] - base, (after - 1)[z] - base, seed)
+    return out, text[first]
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers packed: their bytes of equal weight side by side, then Zstandard."""
     import zstandard

@@ -27,15 +27,31 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
+#: Neighbours of a node from which its edges are no longer gathered by node.
+MANY = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u``. Nodes of many edges are few, at most edges / ``MANY``: they are joined
+    where the edges are, so that the edges of one node stay spread."""
+    least = S.written(least, "least")
+    hubs = least.filter(F.col("n") > MANY).select("u", "m")
+    if not 0 < hubs.count() <= 1_000_000:
+        return edges.join(least.select("u", "m"), "u")
+    rest = edges.join(F.broadcast(hubs), "u", "left_anti").join(least.filter(F.col("n") <= MANY).select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    edges = S.written(edges, "star")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _with_least(edges, least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -1,13 +1,16 @@
 """SimHash near-dedup with an inverted index of positional bytes.
 
 A text's fingerprint has 64 bits: bit k is 1 if it is set in over half of the hashes of the text's word
-shingles. Two fingerprints of eight bytes that differ in at most ``bits`` bits agree in at least
-8 - ``bits`` bytes at their places. So the index is kept by that many positional bytes together: a
-posting holds just the pairs whose tally of shared bytes reaches the guaranteed minimum through these
-places, and every pair that can link meets in one. Pairs that meet are tallied and verified.
+shingles. Two fingerprints of eight bytes that differ in at most ``bits`` bits agree in at least 8 - ``bits``
+bytes at their places: the guaranteed minimum. The index has lists of the fingerprints that hold the same
+bytes at some places. With lists by single bytes, N fingerprints make N * N / 64 pairs; lists by ``TOGETHER``
+bytes make 2**16 times fewer, and fewer places need lists: of any ``bits`` + ``TOGETHER`` places, linked
+fingerprints agree in ``TOGETHER``. Each pair that meets in a list is tallied over all eight bytes; those
+below the minimum go, and the others are verified bit by bit.
 
-Equal fingerprints are one member of the index, so copies cost nothing there. A posting gives the
-links of its members' components, not all its pairs. Components are joined in Spark (``_components``).
+Equal fingerprints are one member of the index, so copies cost nothing there. A list gives the links that join
+its components, not all its pairs; long lists are split over tasks (``_lists``). Components are joined in
+Spark (``_components``).
 
 Defined results: null text has no words, its fingerprint is zero and links like any other; ids may be
 null (a component's id is the least that is not null) or repeated; an empty table gives an empty table;
@@ -21,43 +24,43 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
 from quire.llm import _components as C
-from quire.llm import _repeats as R
+from quire.llm import _lists as X
 from quire.llm import _spark as S
 
 #: Words in a shingle, and most bits in which linked fingerprints differ.
 WORDS = 4
 BITS = 4
-#: Members that a posting compares with each other at once.
-TILE = 1024
+#: Positional bytes that a list has in common, unless the guaranteed minimum is less.
+TOGETHER = 3
 SEED = 42
 
+_LANES = np.uint64(0x0101010101010101)
 
-def _hashes(text: bytes, words: int) -> list[int]:
-    from xxhash import xxh64_intdigest
 
-    parts = text.lower().split()
-    if len(parts) <= words:
-        return [xxh64_intdigest(b" ".join(parts), SEED)] if parts else []
-    line = b" ".join(parts)
-    at = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))
-    return [xxh64_intdigest(line[a:z], SEED) for a, z in zip(at[:-words].tolist(), (at[words:] - 1).tolist(), strict=True)]
-
-
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of one text."""
-    hashes = np.array(_hashes(text, words), "<u8")
+def fingerprints_of(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The 64-bit fingerprints of texts."""
+    hashes, text = B.shingles(buf, offs, words, SEED)
+    out = np.zeros(len(offs) - 1, np.uint64)
     if not len(hashes):
-        return 0
-    count = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 15):
-        part = hashes[a : a + (1 << 15)]
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+        return out
+    head = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    size = np.diff(np.append(head, len(text)))
+    # bits are counted in eight lanes of a byte, for at most 255 hashes at a time
+    parts = -(-size // 255)
+    owner = np.repeat(np.arange(len(head)), parts)
+    step = head[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    count = np.empty((len(head), 64), np.int64)
+    first = np.cumsum(parts) - parts
+    for k in range(8):
+        lanes = np.add.reduceat(hashes >> np.uint64(k) & _LANES, step).astype("<u8").view(np.uint8).reshape(-1, 8)
+        count[:, k::8] = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+    out[text[head]] = np.packbits(2 * count > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -66,61 +69,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint((t or "").encode(), words) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_f", "_r", "id")), pa.array(found.view(np.int64))], names=["_f", "_r", "id", "fp"])
+            buf, offs = B.buffer(batch.column("text"))
+            found = [np.empty(0, np.uint64), *(fingerprints_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words) for i, j in B.pieces(offs))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_f", "_r", "id")), pa.array(np.concatenate(found).view(np.int64))], names=["_f", "_r", "id", "fp"])
             B.release()
 
     rows = S.row_keyed(docs, 1, id=F.col(id_col), text=F.col(text_col)).drop("_b")
     return S.written(rows.mapInArrow(each, f"_f long, _r long, id {kind}, fp long"), "fingerprints")
 
 
-def _postings(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """For each choice of 8 - bits places, the keys of the fingerprints: those bytes, and which places they are."""
-    for k, places in enumerate(combinations(range(8), 8 - bits)):
-        mask = np.uint64(sum(0xFF << 8 * p for p in places))
-        yield B.mix(B.mix(fps & mask) ^ np.uint64(k + 1))
+def lists(fp: Column, bits: int) -> Column:
+    """The keys of a fingerprint's lists: for each choice of places, a hash of its bytes there and of the choice."""
+    together = min(TOGETHER, 8 - bits)
+    keys = []
+    for k, places in enumerate(combinations(range(bits + together), together)):
+        mask = sum(0xFF << 8 * p for p in places)
+        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(k)))
+    return F.array(*keys)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs whose tally of equal positional bytes reaches the minimum, and which differ in few enough bits."""
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes the fingerprints of each pair share."""
     x = a ^ b
-    other = x | x >> np.uint64(4)
-    other |= other >> np.uint64(2)
-    other |= other >> np.uint64(1)
-    tally = 8 - np.bitwise_count(other & np.uint64(0x0101010101010101)).astype(np.int8)
-    return (tally >= 8 - bits) & (np.bitwise_count(x) <= bits)
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - np.bitwise_count(x & _LANES).astype(np.int8)
+
+
+def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs reach the guaranteed minimum of shared bytes and, verified, differ in few enough bits."""
+    out = tally(a, b) >= 8 - bits
+    out[out] = np.bitwise_count((a ^ b)[out]) <= bits
+    return out
 
 
 def links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the components of the members of each posting: fingerprint and its component's first."""
-    order = np.argsort(keys)
-    keys, fps = keys[order], fps[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(head, len(keys)))
-    group = np.repeat(np.arange(len(head)), size)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    a, d = np.flatnonzero((size <= TILE)[group]), 0
-    while len(a):
-        d += 1
-        a = a[a + d < len(group)]
-        a = a[group[a] == group[a + d]]
-        on = a[_linked(fps[a], fps[a + d], bits)]
-        found.append((on, on + d))
-    for h, n in zip(head[size > TILE].tolist(), size[size > TILE].tolist(), strict=True):
-        member = fps[h : h + n]
-        label = np.arange(n)
-        for i in range(0, n, TILE):
-            for j in range(i, n, TILE):
-                x, y = np.nonzero(_linked(member[i : i + TILE, None], member[None, j : j + TILE], bits))
-                on = label[x + i] != label[y + j]
-                if on.any():
-                    label = C.roots(n, np.append(np.arange(n), x[on] + i), np.append(label, y[on] + j))
-        found.append((np.arange(n) + h, label + h))
-    found.append((np.empty(0, np.int64),) * 2)
-    every, place = np.unique(fps, return_inverse=True)
-    root = C.roots(len(every), *(place[np.concatenate(x)] for x in zip(*found, strict=True)))
-    on = np.flatnonzero(root != np.arange(len(every)))
-    return every[on], every[root[on]]
+    """Links that join the components of the members of each list (``keys`` ascend): fingerprint and its component's first."""
+    return X.few(fps, *X.pairs(keys, lambda a, b: linked(fps[a], fps[b], bits)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -129,30 +115,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= bits < 8:
         raise ValueError("bits is 0 to 7")
     fps = fingerprints(docs, id_col, text_col, words)
-    n = S.shards(docs.sparkSession)
     classes = S.written(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            member = batch.column("fp").to_numpy().view(np.uint64)
-            for i in range(0, len(member), 1 << 14):
-                part = member[i : i + (1 << 14)]
-                for keys in _postings(part, bits):
-                    order = np.argsort(keys)
-                    out = R.pack_by_shard(n, 0, 0, keys[order], part[order])
-                    yield out.select(["shard", "keys", "m0"]).rename_columns(["shard", "keys", "fps"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, member = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-            member += [np.frombuffer(x, np.uint64) for x in batch.column("fps").to_pylist()]
-        if keys:
-            u, v = links(np.concatenate(keys), np.concatenate(member), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    sent = classes.select("fp").mapInArrow(send, "shard int, keys binary, fps binary")
-    found = C.components(S.by_shard(sent, n, meet, "u long, v long"))
+    postings = classes.select(F.explode(lists(F.col("fp"), bits)).alias("list"), F.col("fp").alias("member"))
+    found = C.components(X.met(postings, lambda keys, members, _: links(keys, members, bits)))
     joined = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = S.written(joined, "classes")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))

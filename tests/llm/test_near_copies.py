@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline as P
+import pytest
+
+from quire.llm import _lists, near_copies
 
 from . import brute
 
@@ -58,7 +61,12 @@ def stage(spark, rows, sf_dir):
     return [(r.doc_id, r.text) for r in P.near_dedup(spark, frame, sf_dir).collect()]
 
 
-def test_edited_copies(spark, sf_dir):
+@pytest.mark.parametrize(("members", "tile", "long"), [(512, 256, 1024), (3, 4, 16)])
+def test_edited_copies(spark, sf_dir, members, tile, long, monkeypatch):
+    """The same rows stay where components are compared in one place and where they are spread over tasks."""
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(_lists, "LONG", long)
     rows = edited()
     want = kept(rows)
     assert 20 < len(want) < len(rows)

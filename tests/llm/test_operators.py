@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm import decontamination, fingerprints, language, lm_scoring, packing, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from quire.llm import _bytes as B
 from quire.llm import _learn as L
+from quire.llm import _lists
 
 from . import brute
 
@@ -73,18 +74,59 @@ def test_simhash(docs, rows):
     same(table(got, *got.columns), brute.components(rows))
 
 
-def test_links_of_large_postings():
+@pytest.mark.parametrize(("long", "together"), [(3, 1), (3, 3), (1024, 2)])
+def test_simhash_of_long_lists_and_other_keys(docs, rows, long, together, monkeypatch):
+    monkeypatch.setattr(_lists, "LONG", long)
+    monkeypatch.setattr(_lists, "PART", 50)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    got = simhash.near_duplicates(docs).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    same(table(got, *got.columns), brute.components(rows))
+
+
+@pytest.mark.parametrize(("bits", "together", "long"), [(2, 3, 1024), (4, 1, 40), (4, 3, 1024), (7, 3, 40)])
+def test_index_loses_no_link(spark, bits, together, long, monkeypatch):
+    """Random fingerprints near each other: the index's components are those of all pairs."""
     import numpy as np
 
-    r = random.Random(2)
-    fps = np.unique(np.array([r.getrandbits(20) for _ in range(3000)], np.uint64))
-    u, v = simhash.links(np.zeros(len(fps), np.uint64), fps, 2)
-    from quire.llm._components import roots
+    from quire.llm._components import components, roots
+
+    monkeypatch.setattr(_lists, "LONG", long)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = random.Random(bits)
+    near = [r.getrandbits(64) for _ in range(40)]
+    fps = np.array(sorted({c ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 6))) for c in near * 8}), np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    postings = frame.select(F.explode(simhash.lists(F.col("fp"), bits)).alias("list"), F.col("fp").alias("member"))
+    found = {x.node: x.root for x in components(_lists.met(postings, lambda k, m, _: simhash.links(k, m, bits))).collect()}
+    every = fps.view(np.int64)
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits)
+    order = np.argsort(every)
+    at = np.argsort(order)
+    want = roots(len(fps), at[a], at[b])
+    assert [found.get(int(x), int(x)) for x in every] == [int(every[order[want[k]]]) for k in at]
+
+
+def test_pairs_below_the_minimum_are_tallied_out():
+    import numpy as np
+
+    a = np.zeros(3, np.uint64)
+    b = np.array([0x01010101, 0x0101010101, 0x0F], np.uint64)
+    assert simhash.tally(a, b).tolist() == [4, 3, 7]
+    assert simhash.linked(a, b, 4).tolist() == [True, False, True]
+    # of pairs that share three bytes, so that they meet, most are tallied out at four
+    r = np.random.default_rng(0)
+    x = r.integers(0, 1 << 63, 5000, np.uint64)
+    y = x ^ r.integers(0, 1 << 63, 5000, np.uint64) & np.uint64(0xFFFFFFFFFF)
+    assert (simhash.tally(x, y) >= 3).all() and (simhash.tally(x, y) < 4).mean() > 0.9 and not simhash.linked(x, y, 4).any()
+
+
+def test_components_around_hubs(spark, monkeypatch):
+    from quire.llm import _components
 
-    at = {int(x): k for k, x in enumerate(fps)}
-    got = roots(len(fps), np.array([at[int(x)] for x in u]), np.array([at[int(x)] for x in v]))
-    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
-    assert (got == roots(len(fps), a, b)).all()
+    monkeypatch.setattr(_components, "MANY", 3)
+    edges = [(0, k) for k in range(1, 30)] + [(100, k) for k in range(20, 50)] + [(200, 201), (201, 202)]
+    got = {(x.node, x.root) for x in _components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(k, 0) for k in [*range(1, 50), 100]} | {(201, 200), (202, 200)}
 
 
 def test_lm_scoring(docs, rows):
