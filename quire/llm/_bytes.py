@@ -291,6 +291,12 @@ def spread(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def find(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each x among the ascending values, and whether it is there."""
     if not len(ordered):

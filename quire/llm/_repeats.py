@@ -74,7 +74,7 @@ def repeated(rows: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
         if not held:
             return
         every = np.sort(np.concatenate([k for _, _, k, _ in held]))
-        again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[t] for _, _, k, t in held)]))
+        again = B.distinct(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[t] for _, _, k, t in held)]))
         del every
         out = [(f, b, k[B.member(k, again)]) for f, b, k, _ in held]
         out = [(f, b, k) for f, b, k in out if len(k)]

@@ -50,8 +50,8 @@ COMMON = 3
 #: Rows of a block: large ones share more words and strings.
 BLOCK_ROWS = 2048
 
-_SENT = "shard int, kind int, _f long, _b long, keys binary, counts binary"
-_TOLD = "_f long, _b long, shard int, kind int, first binary, second binary, total long, distinct long"
+_SENT = "shard int, kind int, _f long, _b long, part long, keys binary, counts binary"
+_TOLD = "_f long, _b long, part long, shard int, kind int, first binary, second binary, total long, distinct long"
 
 
 def _mask(size: int) -> np.uint64:
@@ -63,29 +63,27 @@ def strings(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     """All strings of ORDER + 1 bytes of the texts with their ends, as numbers, and their text numbers; part by part."""
     n = len(offs) - 1
     lens = np.diff(offs)
-    starts = offs[:-1] + (ORDER + 1) * np.arange(n)
-    padded = np.zeros(len(buf) + (ORDER + 1) * n, np.uint8)
+    wide = lens + ORDER + 1
+    starts = np.cumsum(wide) - wide
+    # a number is read from eight bytes, the last of which goes
+    padded = np.zeros(len(buf) + (ORDER + 1) * n + 8, np.uint8)
     inside = np.ones(len(padded), bool)
+    inside[len(padded) - 8 :] = False
     for k in range(ORDER):
         inside[starts + k] = False
     inside[starts + ORDER + lens] = False
     padded[inside] = buf
-    del inside
-    first = starts  # a text's strings start at its first padding byte, one for each byte and one for the end
-    after = first + lens + 1
-    for a in range(0, len(padded), B.PIECE):
-        part = padded[a : a + B.PIECE + ORDER].astype(np.uint64)
-        size = len(part) - ORDER
-        if size <= 0:
-            return
-        number = part[:size].copy()
-        for k in range(1, ORDER + 1):
-            number <<= np.uint64(8)
-            number |= part[k : k + size]
-        at = np.arange(a, a + size)
-        text = np.searchsorted(first, at, "right") - 1
-        real = at < after[text]
-        yield number[real], text[real]
+    # a text's strings start at its first padding byte, one for each byte and one for the end
+    inside[:] = True
+    for k in range(ORDER):
+        inside[starts + lens + 1 + k] = False
+    text = np.repeat(np.arange(n, dtype=np.int32), wide)
+    for a in range(0, len(text), B.PIECE):
+        size = min(B.PIECE, len(text) - a)
+        number = np.ndarray(size, ">u8", padded[a : a + size + 8], strides=(1,)).astype(np.uint64)
+        number >>= np.uint64(8 * (7 - ORDER))
+        real = inside[a : a + size]
+        yield number[real], text[a : a + size][real]
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +97,7 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _tallied(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with how often each is in training texts (``learn``)."""
     known, times = np.unique(keys[learn], return_counts=True)
-    other = np.unique(keys[~learn])
+    other = B.distinct(keys[~learn])
     return _counted(np.append(known, other), np.append(times, np.zeros(len(other), np.int64)))
 
 
@@ -172,7 +170,7 @@ def costs(keys: np.ndarray, counts: np.ndarray, low: list[Level]) -> list[tuple[
     levels = [*low, *levels]
     out = []
     for start in STARTS:
-        own = np.unique(keys & _mask(start)) if start < ORDER else keys
+        own = B.distinct(keys & _mask(start)) if start < ORDER else keys
         out.append((own, coded(start, own, levels)))
     return out
 
@@ -186,13 +184,13 @@ def low_levels(rows: DataFrame) -> list[Level]:
             whole, bounds = B.buffer(batch.column("text"))
             for i, j in B.pieces(bounds):
                 for number, _ in strings(whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
-                    held.append(np.unique(number & _mask(COMMON)))
+                    held.append(B.distinct(number & _mask(COMMON)))
                     size += len(held[-1])
                     if size > 1 << 22:
-                        held = [np.unique(np.concatenate(held))]
+                        held = [B.distinct(np.concatenate(held))]
                         size = len(held[0]) // 2
             B.release()
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).astype(np.int64))], names=["string"])
+        yield pa.RecordBatch.from_arrays([pa.array(B.distinct(np.concatenate(held)).astype(np.int64))], names=["string"])
 
     found = rows.filter("learn").select("text").mapInArrow(each, "string long").distinct()
     symbol = F.col("string").bitwiseAND(F.lit(int(_mask(COMMON - 1)))).alias("symbol")
@@ -206,15 +204,16 @@ def low_levels(rows: DataFrame) -> list[Level]:
 
 
 def blended(cost: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability from the ``cost`` of each coding (a row each); ``text`` ascends."""
-    sums = np.zeros((len(cost), cost.shape[1] + 1))
-    np.cumsum(cost, axis=1, out=sums[:, 1:])
-    at = np.arange(cost.shape[1])
-    since = np.maximum(at - RECENT, np.searchsorted(text, text))
-    weight = (sums[:, at] - sums[:, since]) / 2
-    weight -= weight.max(axis=0)
-    weight = 10**weight
-    return np.log10((weight * 10**cost).sum(axis=0) / weight.sum(axis=0))
+    """log10 of each byte's probability from the ``cost`` of the two codings (a row each); ``text`` ascends."""
+    n = cost.shape[1]
+    short, long = cost * np.log(10)
+    lead = np.zeros(n + 1)
+    np.cumsum(long - short, out=lead[1:])
+    head = np.flatnonzero(np.append(True, text[1:] != text[:-1])[:n])
+    first = np.repeat(head, np.diff(np.append(head, n)))
+    # how much more the longer coding weighs
+    weight = np.exp(np.clip((lead[:-1] - lead[np.maximum(np.arange(n) - RECENT, first)]) / 2, -300, 300))
+    return np.log10((np.exp(short) + weight * np.exp(long)) / (1 + weight))
 
 
 def _in_shards(kind: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +223,25 @@ def _in_shards(kind: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def _block_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words and strings of a block's texts."""
+    """Distinct words and strings of some texts."""
     words, found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for i, j in B.pieces(offs):
         part, bounds = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        words.append(np.unique(_words(part, bounds)[0]))
-        found += [np.unique(number) for number, _ in strings(part, bounds)]
-    return np.unique(np.concatenate(words)), np.unique(np.concatenate(found))
+        words.append(B.distinct(_words(part, bounds)[0]))
+        found += [B.distinct(number) for number, _ in strings(part, bounds)]
+    return B.distinct(np.concatenate(words)), B.distinct(np.concatenate(found))
+
+
+def _costs_of(number: np.ndarray, known: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The costs of strings, all of which are among the ``known``."""
+    order = np.argsort(number)
+    number = number[order]
+    head = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    at = np.repeat(np.searchsorted(known, number[head]), np.diff(np.append(head, len(number))))
+    out = np.empty((len(cost), len(number)))
+    for k in range(len(cost)):
+        out[k, order] = cost[k, at]
+    return out
 
 
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,6 +255,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f, b, part in R.runs(batch):
+                # a block may come in several parts, as files are split and rows come in batches
+                begin = part.column("_r")[0].as_py()
                 whole, bounds = B.buffer(part.column("text"))
                 learn = part.column("learn").to_numpy(zero_copy_only=False)
                 found: tuple[list, list] = ([], [])
@@ -262,7 +275,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                     ends = list(zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True))
                     steps = [B.squeezed(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in ends]
                     times = [B.squeezed(counts[a:z]) for a, z in ends]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), same(kind, pa.int32()), same(f, pa.int64()), same(b, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["shard", "kind", "_f", "_b", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), same(kind, pa.int32()), same(f, pa.int64()), same(b, pa.int64()), same(begin, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], names=["shard", "kind", "_f", "_b", "part", "keys", "counts"])
                 B.release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,23 +283,23 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         shard = 0
         for x in (x for batch in batches for x in batch.to_pylist()):
             shard = x["shard"]
-            held[x["kind"]].append((x["_f"], x["_b"], np.cumsum(B.spread(x["keys"], np.uint64), dtype=np.uint64), B.spread(x["counts"], np.uint32)))
+            held[x["kind"]].append(((x["_f"], x["_b"], x["part"]), np.cumsum(B.spread(x["keys"], np.uint64), dtype=np.uint64), B.spread(x["counts"], np.uint32)))
         for kind, sent in enumerate(held):
             if not sent:
                 continue
-            keys, counts = _counted(np.concatenate([k for _, _, k, _ in sent]), np.concatenate([c for *_, c in sent]).astype(np.int64))
+            keys, counts = _counted(np.concatenate([k for _, k, _ in sent]), np.concatenate([c for *_, c in sent]).astype(np.int64))
             tables = costs(keys, counts, low.value) if kind else [(keys, counts)]
             total, distinct = int(counts.sum()), int((counts > 0).sum())
-            for f, b, k, _ in sent:
+            for own_part, k, _ in sent:
                 if kind:
-                    told = [B.squeezed(value[np.searchsorted(own, np.unique(k & _mask(start)))].astype(np.float32)) for start, (own, value) in zip(STARTS, tables, strict=True)]
+                    told = [B.squeezed(value[np.searchsorted(own, B.distinct(k & _mask(start)))].astype(np.float32)) for start, (own, value) in zip(STARTS, tables, strict=True)]
                 else:
                     told = [B.squeezed(counts[np.searchsorted(keys, k)].astype(np.uint64)), None]
-                columns = [f, b, shard, kind, *told, None if kind else total, None if kind else distinct]
+                columns = [*own_part, shard, kind, *told, None if kind else total, None if kind else distinct]
                 total = distinct = 0
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=_TOLD.replace(",", "").split()[::2])
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=_TOLD.replace(",", "").split()[::2])
 
-    sent = rows.select("_f", "_b", "text", "learn").mapInArrow(send, _SENT)
+    sent = rows.select("_f", "_b", "_r", "text", "learn").mapInArrow(send, _SENT)
     told = S.written(S.by_shard(sent, n, answer, _TOLD), "lm")
     total, distinct, texts = told.agg(F.sum("total"), F.sum("distinct")).crossJoin(rows.filter("learn").agg(F.count("*"))).first()
     tokens = int(total or 0) + texts
@@ -301,15 +314,22 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         return out
 
     def finish(key: tuple, left: pa.Table, replies: pa.Table) -> pa.Table:
+        row = left.column("_r").to_numpy()
+        left = left.take(pa.array(np.argsort(row)))
+        told = replies.to_pylist()
+        begins = sorted({x["part"] for x in told})
+        cut = [*np.searchsorted(np.sort(row), begins).tolist(), left.num_rows]
+        return pa.concat_tables([scores(left.slice(a, z - a), [x for x in told if x["part"] == part]) for part, a, z in zip(begins, cut, cut[1:], strict=False)])
+
+    def scores(left: pa.Table, told: list[dict]) -> pa.Table:
         whole, bounds = B.buffer(left.column("text"))
         words, known = _block_keys(whole, bounds)
-        told = replies.to_pylist()
         counts = ordered(told, 0, "first", words, np.uint64)
         cost = np.empty((len(STARTS), len(known)), np.float32)
         for k, (start, column) in enumerate(zip(STARTS, ("first", "second"), strict=True)):
-            short = np.unique(known & _mask(start))
-            cost[k] = ordered(told, 1, column, short, np.float32)[np.searchsorted(short, known & _mask(start))]
-        del told
+            own = known & _mask(start)
+            short = B.distinct(own)
+            cost[k] = ordered(told, 1, column, short, np.float32)[np.searchsorted(short, own)]
         n_words, n_known, base, score = np.diff(bounds) * 0, np.diff(bounds) * 0, np.zeros(left.num_rows), np.zeros(left.num_rows)
         for i, j in B.pieces(bounds):
             buf, offs = whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
@@ -318,10 +338,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             n_words[i:j] = np.bincount(text, minlength=j - i)
             n_known[i:j] = np.bincount(text, c > 0, j - i)
             base[i:j] = np.bincount(text, np.log10(c + 1), j - i)
-            before, of = np.empty((len(STARTS), 0)), np.empty(0, np.int64)
+            before, of = np.empty((len(STARTS), 0)), np.empty(0, np.int32)
             for number, text in strings(buf, offs):
-                some, place = np.unique(number, return_inverse=True)
-                now = np.concatenate([before, cost[:, np.searchsorted(known, some)[place]]], axis=1)
+                now = np.concatenate([before, _costs_of(number, known, cost)], axis=1)
                 text = np.append(of, text)
                 score[i:j] += np.bincount(text[len(of) :], blended(now, text)[len(of) :], j - i)
                 before, of = now[:, -RECENT:], text[-RECENT:]

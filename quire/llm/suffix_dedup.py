@@ -179,7 +179,7 @@ def _shared_parts(data: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.nda
     owner, nth = _each(counts)
     hashes = B.gram_hashes(data, size)[(ends - lens)[owner] + nth]
     order = np.sort(hashes)
-    on = B.member(hashes, np.unique(order[1:][order[1:] == order[:-1]]))
+    on = B.member(hashes, B.distinct(order[1:][order[1:] == order[:-1]]))
     edge = np.append(True, owner[1:] != owner[:-1])
     a = np.flatnonzero(on & (edge | ~np.append(False, on[:-1])))
     z = np.flatnonzero(on & (np.append(edge[1:], True) | ~np.append(on[1:], False))) + 1

@@ -49,7 +49,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i, j in B.pieces(bounds):
         buf, offs = B.lowered(whole[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i]
         starts, ends, text = B.words(buf, offs, _TERM)
-        out.append(np.unique((text + i) << BITS | (B.span_hashes(buf, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)))
+        out.append(B.distinct((text + i) << BITS | (B.span_hashes(buf, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)))
     both = np.concatenate(out)
     return both >> BITS, both & ((1 << BITS) - 1)
 

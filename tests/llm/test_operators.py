@@ -129,7 +129,17 @@ def test_components_around_hubs(spark, monkeypatch):
     assert got == {(k, 0) for k in [*range(1, 50), 100]} | {(201, 200), (202, 200)}
 
 
-def test_lm_scoring(docs, rows):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_lm_scoring(spark, docs, rows, batch):
+    """Batches of few rows cut blocks into parts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_lm_scoring(docs, rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_lm_scoring(docs, rows):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     got = lm_scoring.lm_score(docs, L.held_out("doc_id", 7, 2))
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
