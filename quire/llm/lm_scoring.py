@@ -48,7 +48,7 @@ RECENT = 16
 #: Bytes of a context that a shard has in common.
 COMMON = 3
 #: Rows of a block: large ones share more words and strings.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 
 _SENT = "shard int, kind int, _f long, _b long, part long, keys binary, counts binary"
 _TOLD = "_f long, _b long, part long, shard int, kind int, first binary, second binary, total long, distinct long"
@@ -206,7 +206,7 @@ def low_levels(rows: DataFrame) -> list[Level]:
 def blended(cost: np.ndarray, text: np.ndarray) -> np.ndarray:
     """log10 of each byte's probability from the ``cost`` of the two codings (a row each); ``text`` ascends."""
     n = cost.shape[1]
-    short, long = cost * np.log(10)
+    short, long = cost.astype(np.float64) * np.log(10)
     lead = np.zeros(n + 1)
     np.cumsum(long - short, out=lead[1:])
     head = np.flatnonzero(np.append(True, text[1:] != text[:-1])[:n])
@@ -232,16 +232,35 @@ def _block_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return B.distinct(np.concatenate(words)), B.distinct(np.concatenate(found))
 
 
-def _costs_of(number: np.ndarray, known: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """The costs of strings, all of which are among the ``known``."""
-    order = np.argsort(number)
-    number = number[order]
-    head = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
-    at = np.repeat(np.searchsorted(known, number[head]), np.diff(np.append(head, len(number))))
-    out = np.empty((len(cost), len(number)))
-    for k in range(len(cost)):
-        out[k, order] = cost[k, at]
-    return out
+class _Costs:
+    """The two costs of strings by a hash table with a quarter of its places taken, at most."""
+
+    def __init__(self, keys: np.ndarray, cost: np.ndarray):
+        bits = max(10, (4 * len(keys)).bit_length())
+        self.keys, self.both = keys, np.ascontiguousarray(cost.T, np.float32).view(np.uint64).ravel()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            at = slot[left]
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            left = left[self.table[at] != left]
+            slot[left] = slot[left] + 1 & self.last
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(B._BASE) >> self.shift).astype(np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """A row for each coding; all strings are among the keys."""
+        slot = self._slot(x)
+        at = self.table[slot]
+        left = np.flatnonzero(self.keys[at] != x)
+        while len(left):
+            slot[left] = slot[left] + 1 & self.last
+            at[left] = self.table[slot[left]]
+            left = left[self.keys[at[left]] != x[left]]
+        return self.both[at].view(np.float32).reshape(-1, 2).T
 
 
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,6 +349,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             own = known & _mask(start)
             short = B.distinct(own)
             cost[k] = ordered(told, 1, column, short, np.float32)[np.searchsorted(short, own)]
+        table = _Costs(known, cost)
         n_words, n_known, base, score = np.diff(bounds) * 0, np.diff(bounds) * 0, np.zeros(left.num_rows), np.zeros(left.num_rows)
         for i, j in B.pieces(bounds):
             buf, offs = whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
@@ -338,9 +358,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             n_words[i:j] = np.bincount(text, minlength=j - i)
             n_known[i:j] = np.bincount(text, c > 0, j - i)
             base[i:j] = np.bincount(text, np.log10(c + 1), j - i)
-            before, of = np.empty((len(STARTS), 0)), np.empty(0, np.int32)
+            before, of = np.empty((len(STARTS), 0), np.float32), np.empty(0, np.int32)
             for number, text in strings(buf, offs):
-                now = np.concatenate([before, _costs_of(number, known, cost)], axis=1)
+                now = np.concatenate([before, table.of(number)], axis=1)
                 text = np.append(of, text)
                 score[i:j] += np.bincount(text[len(of) :], blended(now, text)[len(of) :], j - i)
                 before, of = now[:, -RECENT:], text[-RECENT:]
