@@ -2,8 +2,8 @@
 
 A text is the set of its terms: lower-cased runs of letters, digits and bytes from 0x80, hashed to
 2**``BITS`` buckets. Terms take part that go with the label or against it (chi-square), alone or among the
-texts that hold a term of the first kind: so a word that says nothing by itself, such as a group's name,
-takes part if it matters beside an insult. The machine scores a text by w0 + sum of w_i + sum over pairs
+texts that hold one of the ``ANCHORS`` terms that do most: so a word that says nothing by itself, such as a
+group's name, takes part if it matters beside an insult. The machine scores a text by w0 + sum of w_i + sum over pairs
 of <v_i, v_j>, so a pair of terms can weigh more or less than the two alone. It is fitted by Adam on all
 chosen rows at once, on the driver, from at most ``MOST`` labelled rows; the model is a few thousand terms
 at most 2**``BITS``, so it goes to the executors whole.
@@ -36,9 +36,12 @@ FACTORS = 8
 ROUNDS = 150
 RATE = 0.05
 DECAY = 0.1
-#: Least chi-square with one degree of freedom of a term that takes part, alone and beside another (where many more
-#: are tried), and least rows of a term.
-CHI, BESIDE, ROWS = 8.0, 30.0, 3
+#: Least chi-square with one degree of freedom of a term that goes with label 1, or against it (most words lean a little
+#: against a rare label), and least rows of a term.
+CHI, AGAINST, ROWS = 8.0, 20.0, 3
+#: The same for a term beside another, where many more are tried; how many of the terms that go most with a label
+#: others are tried beside, and how many terms take part for that reason, at most.
+BESIDE, BESIDE_ROWS, ANCHORS, PARTNERS = 30.0, 20, 32, 256
 _TERM = B.separators((0, 47), (58, 64), (91, 96), (123, 127))
 
 
@@ -83,20 +86,35 @@ def _chi(a: np.ndarray, rows: np.ndarray, n: float, p: float) -> np.ndarray:
 
 def _chosen(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Buckets whose presence goes with a label, among all texts or among those that hold a term that does."""
-    every, term = np.unique(bucket, return_inverse=True)
-    rows = np.bincount(term).astype(float)
-    alone = (rows >= ROWS) & (_chi(np.bincount(term, label[text]), rows, len(label), label.sum()) >= CHI)
-    found = [np.flatnonzero(alone)]
-    order = np.argsort(term, kind="stable")
-    heads, first = np.searchsorted(term[order], np.arange(len(every) + 1)), np.searchsorted(text, np.arange(len(label) + 1))
-    for k in found[0]:
-        own = text[order[heads[k] : heads[k + 1]]]
+    every = 1 << BITS
+    rows = np.bincount(bucket, minlength=every).astype(float)
+    toxic = np.bincount(bucket, label[text], every)
+    chi = _chi(toxic, rows, len(label), label.sum())
+    chi[(rows < ROWS) | (chi < np.where(toxic * len(label) > rows * label.sum(), CHI, AGAINST))] = 0
+    best = np.zeros(every)
+    first = np.searchsorted(text, np.arange(len(label) + 1))
+    for k in np.argsort(-chi, kind="stable")[:ANCHORS].tolist():
+        own = text[bucket == k] if chi[k] else text[:0]
         size = first[own + 1] - first[own]
         at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        beside, place = np.unique(term[at], return_inverse=True)
-        n = np.bincount(place).astype(float)
-        found.append(beside[(n >= ROWS) & (n <= len(own) - ROWS) & (_chi(np.bincount(place, label[text[at]]), n, len(own), label[own].sum()) >= BESIDE)])
-    return every[np.unique(np.concatenate(found))]
+        n = np.bincount(bucket[at], minlength=every).astype(float)
+        beside = _chi(np.bincount(bucket[at], label[text[at]], every), n, len(own), label[own].sum())
+        best = np.where((n >= BESIDE_ROWS) & (n <= len(own) - BESIDE_ROWS), np.maximum(best, beside), best)
+    best[(best < BESIDE) | (chi > 0)] = 0
+    partners = np.argsort(-best, kind="stable")[:PARTNERS]
+    return np.union1d(np.flatnonzero(chi), partners[best[partners] > 0])
+
+
+def _merged(text: np.ndarray, term: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with the same terms as one: text and term numbers, how many texts each one is, and the sum of their labels."""
+    print_ = np.zeros(len(label), np.uint64)
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    print_[text[first]] = np.add.reduceat(B.mix(term.astype(np.uint64) + np.uint64(1)), first)
+    _, head, of, times = np.unique(print_, return_index=True, return_inverse=True, return_counts=True)
+    keep = head[of[text]] == text
+    text = of[text[keep]]
+    order = np.argsort(text, kind="stable")
+    return text[order], term[keep][order], times.astype(float), np.bincount(of, label, len(head))
 
 
 def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
@@ -109,6 +127,7 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
     text, term = text[on], np.searchsorted(known, bucket[on])
     if not len(text):
         return machine
+    text, term, times, label = _merged(text, term, label)
     order = np.argsort(term, kind="stable")
     heads, rows = np.searchsorted(term[order], np.arange(len(known))), text[order]
     first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
@@ -117,14 +136,15 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
     means, squares = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
     for t in range(1, ROUNDS + 1):
         bias, w, v = values
-        x = v[term]
-        sums, own = np.zeros((n, FACTORS)), np.zeros(n)
+        x = v.astype(np.float32)[term]
+        sums, own = np.zeros((len(times), FACTORS), np.float32), np.zeros(len(times))
         sums[some] = np.add.reduceat(x, first)
-        own[some] = np.add.reduceat((x * x).sum(1), first)
-        z = bias + np.bincount(text, w[term], n) + ((sums * sums).sum(1) - own) / 2
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
+        own[some] = np.add.reduceat(np.einsum("ij,ij->i", x, x), first)
+        z = bias + np.bincount(text, w[term], len(times)) + ((sums * sums).sum(1) - own) / 2
+        error = times / (1 + np.exp(-np.clip(z, -500, 500))) - label
         of_term = np.add.reduceat(error[rows], heads)
-        slope = [np.array([error.sum()]), of_term + 10 * DECAY * w, np.add.reduceat(error[rows, None] * sums[rows], heads) - v * of_term[:, None] + DECAY * v]
+        lean = np.add.reduceat((error.astype(np.float32)[:, None] * sums)[rows], heads)
+        slope = [np.array([error.sum()]), of_term + 10 * DECAY * w, lean - v * of_term[:, None] + DECAY * v]
         for value, g, m, s in zip(values, slope, means, squares, strict=True):
             g = g / n
             m *= 0.9
@@ -152,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = rows.mapInArrow(each, "label double, terms array<int>").toArrow().combine_chunks()
     label, held = got.column("label").to_numpy().astype(float), got.column("terms").combine_chunks()
-    return fit(np.repeat(np.arange(len(label)), held.value_lengths().to_numpy().astype(np.int64)), held.flatten().to_numpy().astype(np.int64), label)
+    return fit(np.repeat(np.arange(len(label), dtype=np.int32), held.value_lengths().to_numpy()), held.flatten().to_numpy(), label)
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
