@@ -48,7 +48,7 @@ RECENT = 16
 #: Bytes of a context that a shard has in common.
 COMMON = 3
 #: Rows of a block: large ones share more words and strings.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 3072
 
 _SENT = "shard int, kind int, _f long, _b long, part long, keys binary, counts binary"
 _TOLD = "_f long, _b long, part long, shard int, kind int, first binary, second binary, total long, distinct long"
@@ -98,7 +98,22 @@ def _tallied(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys with how often each is in training texts (``learn``)."""
     known, times = np.unique(keys[learn], return_counts=True)
     other = B.distinct(keys[~learn])
-    return _counted(np.append(known, other), np.append(times, np.zeros(len(other), np.int64)))
+    return _counted(np.append(known, other), np.append(times, np.zeros(len(other), np.int64)).astype(np.uint32))
+
+
+class _Tally:
+    """Distinct keys of a block with their counts, added up now and then."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        if sum(len(k) for k, _ in self.held[1:]) > max(1 << 20, len(self.held[0][0])):
+            self.held = [self.whole()]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(*map(np.concatenate, zip(*self.held, strict=True)))
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,17 +293,18 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 begin = part.column("_r")[0].as_py()
                 whole, bounds = B.buffer(part.column("text"))
                 learn = part.column("learn").to_numpy(zero_copy_only=False)
-                found: tuple[list, list] = ([], [])
+                found = (_Tally(), _Tally())
                 for i, j in B.pieces(bounds):
                     buf, offs, own = whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], learn[i:j]
                     hashes, text = _words(buf, offs)
-                    found[0].append(_tallied(hashes, own[text]))
-                    found[1].extend(_tallied(number, own[text]) for number, text in strings(buf, offs))
-                for kind, got in enumerate(found):
-                    keys, counts = _counted(*map(np.concatenate, zip(*got, strict=True)))
+                    found[0].add(*_tallied(hashes, own[text]))
+                    for number, text in strings(buf, offs):
+                        found[1].add(*_tallied(number, own[text]))
+                for kind, tally in enumerate(found):
+                    keys, counts = tally.whole()
                     order, size = _in_shards(kind, keys, n)
                     cut = np.append(0, np.cumsum(size))
-                    keys, counts = keys[order], counts[order].astype(np.uint32)
+                    keys, counts = keys[order], counts[order]
                     some = np.flatnonzero(size)
                     same = lambda x, t: pa.array(np.full(len(some), x), t)  # noqa: B023, E731
                     ends = list(zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True))
