@@ -19,7 +19,7 @@ from quire.llm import _components as C
 from quire.llm import _spark as S
 
 #: Members of a list that are compared with each other in one place, about.
-LONG = 1024
+LONG = 4096
 #: Members that are worked on at once.
 PART = 1 << 17
 #: Most keys of long lists that are broadcast.

@@ -89,9 +89,9 @@ def strings(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys with the sums of their counts."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys, counts = keys[order], counts[order].astype(np.uint32, copy=False)
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
+    return keys[head], np.add.reduceat(counts, head, dtype=counts.dtype) if len(head) else counts
 
 
 def _tallied(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +304,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                     keys, counts = tally.whole()
                     order, size = _in_shards(kind, keys, n)
                     cut = np.append(0, np.cumsum(size))
-                    keys, counts = keys[order], counts[order]
+                    keys, counts = keys[order], counts[order].astype(np.uint32, copy=False)
                     some = np.flatnonzero(size)
                     same = lambda x, t: pa.array(np.full(len(some), x), t)  # noqa: B023, E731
                     ends = list(zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True))
