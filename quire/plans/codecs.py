@@ -44,15 +44,9 @@ def auto_codec(spark, sf_dir):
     return K.auto_encode(images(spark, sf_dir), lossless=True).select("img", "codec")
 
 
-@query(f"WITH {PLANE} SELECT blk, i, j, v FROM plane WHERE blk < 100")
+@query(f"WITH {PLANE} SELECT blk, i, j, v FROM plane")
 def residual_codec(spark, sf_dir):
-    """Bit-exact: a fitted network's guess and the residual give back a hundred blocks (the blocks that this query is about)."""
-    return K.residual_decode(K.residual_encode(plane(spark, sf_dir).filter("blk < 100"), "blk", steps=30)).select("blk", "i", "j", "v")
-
-
-@query()
-def residual_codec_all(spark, sf_dir):
-    """``residual_codec`` over all blocks."""
+    """Bit-exact: a fitted network's guess and the residual give back all blocks."""
     return K.residual_decode(K.residual_encode(plane(spark, sf_dir), "blk", steps=30)).select("blk", "i", "j", "v")
 
 
@@ -69,16 +63,9 @@ def texture_array(spark, sf_dir):
     return K.stacked(im).withColumn("v", F.round("v", 6))
 
 
-@query(f"WITH {CELLS}, reg AS (SELECT blk AS region, i // 2 AS i, j // 2 AS j, avg(v) AS w FROM cells WHERE blk < 32 GROUP BY ALL), e AS (SELECT blk, c.i // 4 AS pi, c.j // 4 AS pj, region, round(sum((v - w) ** 2), 9) AS error FROM cells c JOIN reg ON reg.i = c.i % 4 AND reg.j = c.j % 4 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY blk, pi, pj ORDER BY error, region) AS rank FROM e) SELECT blk, CAST(pi AS INT) AS pi, CAST(pj AS INT) AS pj, region, round(error, 6) AS error FROM k WHERE rank = 1")
+@query(f"WITH {CELLS}, reg AS (SELECT blk AS region, i // 2 AS i, j // 2 AS j, avg(v) AS w FROM cells GROUP BY ALL), e AS (SELECT blk, c.i // 4 AS pi, c.j // 4 AS pj, region, round(sum((v - w) ** 2), 9) AS error FROM cells c JOIN reg ON reg.i = c.i % 4 AND reg.j = c.j % 4 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY blk, pi, pj ORDER BY error, region) AS rank FROM e) SELECT blk, CAST(pi AS INT) AS pi, CAST(pj AS INT) AS pj, region, round(error, 6) AS error FROM k WHERE rank = 1")
 def similar_region(spark, sf_dir):
-    """For each 4 x 4 patch the most similar of 32 regions, which are blocks at half their size."""
-    c = cells(spark, sf_dir)
-    return _most_similar(c, c.filter("blk < 32"))
-
-
-@query()
-def similar_region_all(spark, sf_dir):
-    """``similar_region`` with the regions of all blocks."""
+    """For each 4 x 4 patch the most similar region; regions are all blocks at half their size."""
     c = cells(spark, sf_dir)
     return _most_similar(c, c)
 

@@ -73,21 +73,9 @@ def hist_entropy(spark, sf_dir):
     return A.histogram_entropy(v, "x", 20).withColumn("bits", F.round("bits", 6))
 
 
-def _small_graph(spark, sf_dir):
-    """Vectors of one label, whose ids and distances are the graph."""
-    v = vectors(spark, sf_dir).filter("label = 1")
-    return A.pair_distances(v).withColumn("d", F.round("d", 9)), v.select(F.col("vec_id").alias("node"))
-
-
-@query(f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({_DIST}, 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 1 AND b.label = 1), s AS (SELECT a, b, d, row_number() OVER (ORDER BY d, a, b) AS k FROM p), n AS (SELECT list(vec_id ORDER BY vec_id) AS ids FROM embeddings WHERE label = 1), t(k, comp, used, a, b, d) AS (SELECT 0::BIGINT, ids, false, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM n UNION ALL SELECT s.k, CASE WHEN comp[list_position(ids, s.a)] = comp[list_position(ids, s.b)] THEN comp ELSE list_transform(comp, lambda c: CASE WHEN c = greatest(comp[list_position(ids, s.a)], comp[list_position(ids, s.b)]) THEN least(comp[list_position(ids, s.a)], comp[list_position(ids, s.b)]) ELSE c END) END, comp[list_position(ids, s.a)] <> comp[list_position(ids, s.b)], s.a, s.b, s.d FROM t JOIN s ON s.k = t.k + 1, n) SELECT a, b, round(d, 6) AS d FROM t WHERE used")
-def mst(spark, sf_dir):
-    edges, nodes = _small_graph(spark, sf_dir)
-    return A.spanning_tree(edges, nodes).withColumn("d", F.round("d", 6))
-
-
 @query()
-def mst_all(spark, sf_dir):
-    """``mst`` over all vectors."""
+def mst(spark, sf_dir):
+    """The minimum spanning tree over the distances of all vectors."""
     v = vectors(spark, sf_dir)
     return A.spanning_tree(pairs(spark, sf_dir), v.select(F.col("vec_id").alias("node"))).withColumn("d", F.round("d", 6))
 
@@ -139,14 +127,9 @@ def betti1(spark, sf_dir):
     return e.groupBy("blk").agg(F.count_if(~F.col("open")).alias("holes"))
 
 
-@query(f"WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 1 AND b.label = 1 AND round({_DIST}, 9) < 0.9), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), walk(node, root) AS (SELECT vec_id, vec_id FROM embeddings WHERE label = 1 UNION SELECT e.b, w.root FROM walk w JOIN e ON e.a = w.node), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node) SELECT (SELECT count(*) FROM c) AS v, (SELECT count(*) FROM p) AS e, (SELECT count(DISTINCT root) FROM c) AS components, (SELECT count(*) FROM p) - ((SELECT count(*) FROM c) - (SELECT count(DISTINCT root) FROM c)) AS loops")
-def vr_components(spark, sf_dir):
-    return _loops(*_small_graph(spark, sf_dir))
-
-
 @query()
-def vr_components_all(spark, sf_dir):
-    """``vr_components`` over all vectors."""
+def vr_components(spark, sf_dir):
+    """Components and loops of the graph of all vectors closer than 0.9."""
     return _loops(pairs(spark, sf_dir), vectors(spark, sf_dir).select(F.col("vec_id").alias("node")))
 
 

@@ -6,6 +6,8 @@ payload, so header queries never read payloads. Parquet folders take the place o
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,16 +99,21 @@ def waves(spark: SparkSession, series: int, length: int) -> DataFrame:
 
 
 class Atlas:
-    """Append-only records in a Parquet folder, partitioned by a bucket of the id; reads by id touch one bucket."""
+    """Append-only records in a Parquet folder, partitioned by a bucket of the id; reads by id touch one bucket.
+
+    Every append, and every micro-batch of a stream, has a folder of its own (``appended``), so batch and streamed
+    records lie side by side, and an append that is done again under its name takes its own place.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path, buckets
 
-    def append(self, records: DataFrame, id_col: str = "id") -> None:
-        records.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(self.buckets)).cast("int")).write.partitionBy("bucket").mode("append").parquet(self.path)
+    def append(self, records: DataFrame, id_col: str = "id", name: str | None = None) -> None:
+        out = records.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(self.buckets)).cast("int"))
+        out.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/appended=a-{name or uuid.uuid4().hex}")
 
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self.path).drop("appended")
 
     def read(self, key: int, id_col: str = "id") -> DataFrame:
         """The records of one id; an id that isn't there is an IndexError."""

@@ -1,11 +1,13 @@
 """Structured Streaming: append-only ingestion of records, a queue of tasks, and event-time windows.
 
 Sources are folders of Parquet files. Every stream has a checkpoint folder, so a stopped run goes on where
-it was, and a record is appended once.
+it was. Each micro-batch is written to a place of its own that follows from the checkpoint and the batch's number,
+so a record is appended once even where a batch is done again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from quire.sources.files import Atlas
+
 
 def records(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(folder)
 
 
+def _name(checkpoint: str, number: int) -> str:
+    """The name of a micro-batch of the stream that has this checkpoint: the same if the batch is done again."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number}"
+
+
 def append_atlas(stream: DataFrame, path: str, checkpoint: str, id_col: str, buckets: int = 16) -> StreamingQuery:
-    """Appends all that is there to a Parquet atlas by bucket of the id, then stops."""
-    out = stream.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
-    return out.writeStream.format("parquet").partitionBy("bucket").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends all that is there to an atlas, then stops. A micro-batch that is done again replaces itself."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        Atlas(batch.sparkSession, path, buckets).append(batch, id_col, _name(checkpoint, number))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, id_col: str, time_col: str, late: str = "1 hour") -> DataFrame:
@@ -31,13 +43,14 @@ def deduplicated(stream: DataFrame, id_col: str, time_col: str, late: str = "1 h
 
 def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, most_bytes: int, payload: str) -> StreamingQuery:
     """A first-in first-out queue of tasks: each micro-batch is worked on and appended; payloads over
-    ``most_bytes`` are kept as rows with an error instead of a result."""
+    ``most_bytes`` are kept as rows with an error instead of a result. Results lie in a folder for each
+    micro-batch, ``batch``, so one that is done again replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
         fits = F.octet_length(payload) <= most_bytes
         done = work(batch.filter(fits)).withColumn("error", F.lit(None).cast("string"))
         too_long = batch.filter(~fits).withColumn("error", F.lit(f"payload over {most_bytes} bytes"))
-        done.unionByName(too_long, allowMissingColumns=True).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        done.unionByName(too_long, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/batch={_name(checkpoint, number)}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

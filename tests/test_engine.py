@@ -90,6 +90,32 @@ def test_streams_append_once_and_queue_keeps_errors(spark, tmp_path):
     assert done.filter("error IS NULL").count() == 16 and done.filter("error IS NOT NULL").count() == 4
 
 
+def test_batch_and_streamed_appends_lie_side_by_side(spark, tmp_path):
+    inbox, path = str(tmp_path / "in"), str(tmp_path / "atlas")
+    spark.range(10).select("id", (F.col("id") * 2).alias("x")).write.parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+    atlas = files.Atlas(spark, path)
+    appends.append_atlas(appends.records(spark, inbox, schema), path, str(tmp_path / "at"), "id").awaitTermination()
+    atlas.append(spark.range(10, 30).select("id", (F.col("id") * 2).alias("x")))
+    assert atlas.all().count() == 30 and atlas.read(25).first().x == 50 and atlas.read(3).first().x == 6
+
+
+def test_a_batch_that_is_done_again_gives_no_repeats(spark, tmp_path):
+    import shutil
+
+    inbox = str(tmp_path / "in")
+    spark.range(10).select("id", F.lit(b"x").alias("payload")).write.parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+    for _ in range(2):
+        appends.append_atlas(appends.records(spark, inbox, schema), str(tmp_path / "out"), str(tmp_path / "at"), "id").awaitTermination()
+        appends.drain(appends.records(spark, inbox, schema), lambda df: df, str(tmp_path / "done"), str(tmp_path / "at2"), 15, "payload").awaitTermination()
+        # as if both had stopped after writing the batch and before saying so
+        for place in ("at", "at2"):
+            shutil.rmtree(tmp_path / place / "commits")
+    assert files.Atlas(spark, str(tmp_path / "out")).all().count() == 10
+    assert spark.read.parquet(str(tmp_path / "done")).count() == 10
+
+
 def test_sine_network_learns(spark):
     grid = transforms.grid(spark, 8).select(F.lit(1).alias("blk"), "y", "x", F.sin(F.col("x") * 2 + F.col("y")).alias("v"))
     r = models.sine_fit(grid, "blk", steps=300).first()

@@ -42,22 +42,22 @@ def test_ancestry_purity(spark, sf_dir):
     assert abs(got.purity - np.mean([label[a] == label[b] for a, b in want])) < 1e-6
 
 
-def test_mst_all(spark, sf_dir):
+def test_mst(spark, sf_dir):
     ids, _, d = vectors(sf_dir)
     want = sorted((int(ids[a]), int(ids[b]), round(float(d[a, b]), 6)) for a, b in tree(ids, d))
-    got = sorted((r.a, r.b, r.d) for r in Q["mst_all"](spark, sf_dir).collect())
+    got = sorted((r.a, r.b, r.d) for r in Q["mst"](spark, sf_dir).collect())
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
 
 
-def test_vr_components_all(spark, sf_dir):
+def test_vr_components(spark, sf_dir):
     ids, _, d = vectors(sf_dir)
     label = np.arange(len(ids))
     a, b = np.nonzero(np.triu(d < 0.9, 1))
     for x, y in zip(a, b, strict=True):
         label[label == label[y]] = label[x]
     v, e, c = len(ids), len(a), len(np.unique(label))
-    assert Q["vr_components_all"](spark, sf_dir).first().asDict() == {"v": v, "e": e, "components": c, "loops": e - v + c}
+    assert Q["vr_components"](spark, sf_dir).first().asDict() == {"v": v, "e": e, "components": c, "loops": e - v + c}
 
 
 def test_linkage_purity(spark, sf_dir):
@@ -75,18 +75,18 @@ def test_linkage_purity(spark, sf_dir):
     assert abs(Q["linkage_purity"](spark, sf_dir).first().purity - want) < 1e-6
 
 
-def test_residual_codec_all(spark, sf_dir):
+def test_residual_codec(spark, sf_dir):
     key = lambda r: (r.blk, r.i, r.j)
     want = sorted(plane(spark, sf_dir).select("blk", "i", "j", "v").collect(), key=key)
-    assert sorted(Q["residual_codec_all"](spark, sf_dir).collect(), key=key) == want
+    assert sorted(Q["residual_codec"](spark, sf_dir).collect(), key=key) == want
 
 
-def test_similar_region_all(spark, sf_dir):
+def test_similar_region(spark, sf_dir):
     rows = cells(spark, sf_dir).select("blk", "i", "j", "v").toPandas().sort_values(["blk", "i", "j"])
     x = rows.v.to_numpy(float).reshape(-1, 8, 8)
     ids = rows.blk.to_numpy()[::64]
     small = x.reshape(-1, 4, 2, 4, 2).mean((2, 4))
-    got = {(r.blk, r.pi, r.pj): r for r in Q["similar_region_all"](spark, sf_dir).collect()}
+    got = {(r.blk, r.pi, r.pj): r for r in Q["similar_region"](spark, sf_dir).collect()}
     assert len(got) == 4 * len(ids) and max(r.region for r in got.values()) >= 32
     for k in range(len(ids)):
         for p in range(2):
