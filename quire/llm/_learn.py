@@ -27,8 +27,9 @@ def sample(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
     if by is None:
         n = rows.count()
         return rows if n <= most else drawn.filter(F.col("_h") < part(F.lit(n))).orderBy("_h", "_f", "_r").limit(most).drop("_h")
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    near = drawn.join(counts, by).filter(F.col("_h") < part(F.col("_n")))
+    counts = S.written(rows.groupBy(by).agg(F.count("*").alias("_n")), "counts")
+    # rows that aren't drawn stay where they are
+    near = drawn.join(F.broadcast(counts) if counts.count() <= SMALL else counts, by).filter(F.col("_h") < part(F.col("_n")))
     place = F.row_number().over(Window.partitionBy(by).orderBy("_h", "_f", "_r"))
     return near.withColumn("_n", place).filter(F.col("_n") <= most).drop("_h", "_n")
 
