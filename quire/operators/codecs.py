@@ -152,11 +152,26 @@ def stacked(images: DataFrame) -> DataFrame:
     return grid.join(images.select("img", "i", "j", "v"), ["img", "i", "j"]).select("img", F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
 
 
-def similar_regions(patches: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """For each patch (keys, i, j, v) the region (region, i, j, v; a few, broadcast) of least squared error; ties to the smaller region."""
-    both = patches.join(F.broadcast(regions.withColumnRenamed("v", "_w")), ["i", "j"])
-    error = both.groupBy(*keys, "region").agg(F.round(F.sum(F.pow(F.col("v") - F.col("_w"), 2)), 9).alias("error"))
-    return error.groupBy(*keys).agg(F.min(F.struct("error", "region")).alias("b")).select(*keys, "b.region", "b.error")
+def similar_regions(patches: DataFrame, regions: DataFrame, keys: list[str], side: int = 4) -> DataFrame:
+    """For each patch (keys, i, j, v) the region (region, i, j, v) of least squared error (nine digits); ties to the smaller region.
+    Both are ``side`` x ``side``, and are compared as vectors, by tiles. Where any lacks a place, all are joined by place instead,
+    and the error is that of the places that two have in common."""
+    from quire.operators import tiles as A
+    from quire.operators.corpus import written
+
+    def whole(df: DataFrame, by: list[str]) -> DataFrame:
+        cells = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("i", "j", F.col("v").cast("double").alias("v")))))
+        return df.groupBy(*by).agg(cells.alias("cells")).select(*by, F.transform("cells", lambda c: c["v"]).alias("vec"))
+
+    of, these = written(whole(regions, ["region"]), "regions"), written(whole(patches, keys), "patches")
+    lacking = F.size("vec") != side * side
+    if of.filter(lacking).limit(1).count() or these.filter(lacking).limit(1).count():
+        both = patches.join(regions.withColumnRenamed("v", "_w"), ["i", "j"])
+        error = both.groupBy(*keys, "region").agg(F.round(F.sum(F.pow(F.col("v") - F.col("_w"), 2)), 9).alias("error"))
+        return error.groupBy(*keys).agg(F.min(F.struct("error", "region")).alias("b")).select(*keys, "b.region", "b.error")
+    named = written(these.withColumn("patch", F.monotonically_increasing_id()), "named")
+    best = A.nearest(A.blocks(named, "patch", "vec"), A.blocks(of, "region", "vec"), 1, root=False).select(F.col("i").alias("patch"), F.col("best")[0].alias("b"))
+    return named.join(best, "patch").select(*keys, F.col("b.j").alias("region"), F.col("b.d").alias("error"))
 
 
 def istft(frames: DataFrame, keys: list[str], size: int, hop: int) -> DataFrame:

@@ -73,7 +73,7 @@ def similar_region(spark, sf_dir):
 def _most_similar(c, of):
     regions = T.block_mean(of, ["blk"], 2, 8).withColumnRenamed("blk", "region")
     patches = c.select("blk", F.floor(F.col("i") / 4).cast("int").alias("pi"), F.floor(F.col("j") / 4).cast("int").alias("pj"), (F.col("i") % 4).alias("i"), (F.col("j") % 4).alias("j"), "v")
-    return K.similar_regions(patches, regions, ["blk", "pi", "pj"]).withColumn("error", F.round("error", 6))
+    return K.similar_regions(patches, regions, ["blk", "pi", "pj"]).withColumn("error", F.floor(F.col("error") * 1e6 + 0.5) / 1e6)  # half up by the product in doubles, as in SQL
 
 
 @query("WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value AS v FROM events), l AS (SELECT user_id, max(n) + 1 AS len FROM s GROUP BY 1) SELECT user_id, n, round(v, 4) AS v FROM s JOIN l USING (user_id) WHERE len >= 8 AND n > 0 AND n < ((len - 8) // 4) * 4 + 8")
