@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import corpus as A
+from quire.operators import tiles as T
 from quire.operators.signals import table
 from quire.plans.registry import query
 from quire.plans.transforms import CELLS, PLANE, cells, plane
@@ -49,7 +50,7 @@ def pair_separation(spark, sf_dir):
 
 @query(f"WITH {_BOTH} SELECT round(avg(CASE WHEN li = lj THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM nn WHERE rank = 1")
 def nn_accuracy(spark, sf_dir):
-    n = A.neighbours(pairs(spark, sf_dir), 1).join(labels(spark, sf_dir, "i", "li"), "i").join(labels(spark, sf_dir, "j", "lj"), "j")
+    n = T.neighbours(vectors(spark, sf_dir), 1).join(labels(spark, sf_dir, "i", "li"), "i").join(labels(spark, sf_dir, "j", "lj"), "j")
     return n.agg(F.round(F.avg((F.col("li") == F.col("lj")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
