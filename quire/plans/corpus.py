@@ -63,7 +63,7 @@ def knn_mean(spark, sf_dir):
 
 @query(f"WITH {_BOTH} SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS lo, round(max(d), 6) AS hi, round(quantile_cont(d, 0.5), 6) AS median, round(stddev_pop(d) / avg(d), 6) AS cv FROM nn WHERE rank = 1")
 def nn_stats(spark, sf_dir):
-    n = A.neighbours(pairs(spark, sf_dir), 1)
+    n = T.neighbours(vectors(spark, sf_dir), 1)
     r = lambda c, name: F.round(c, 6).alias(name)
     return n.agg(r(F.avg("d"), "mean"), r(F.stddev_pop("d"), "std"), r(F.min("d"), "lo"), r(F.max("d"), "hi"), r(F.percentile("d", 0.5), "median"), r(F.stddev_pop("d") / F.avg("d"), "cv"))
 
