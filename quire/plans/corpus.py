@@ -56,7 +56,7 @@ def nn_accuracy(spark, sf_dir):
 
 @query(f"WITH {_BOTH} SELECT i, k, round(avg(e.embedding[1]::DOUBLE), 6) AS first, round(avg(e.embedding[64]::DOUBLE), 6) AS last FROM nn JOIN embeddings e ON e.vec_id = j, (SELECT unnest([1, 3, 5]) AS k) WHERE rank <= k GROUP BY ALL")
 def knn_mean(spark, sf_dir):
-    n = A.neighbours(pairs(spark, sf_dir), 5).withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5))))).filter("rank <= k")
+    n = T.neighbours(vectors(spark, sf_dir), 5).withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5))))).filter("rank <= k")
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("j"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(63)).cast("double").alias("y"))
     return n.join(v, "j").groupBy("i", "k").agg(F.round(F.avg("x"), 6).alias("first"), F.round(F.avg("y"), 6).alias("last"))
 
