@@ -85,7 +85,7 @@ def mst(spark, sf_dir):
 def ancestry_purity(spark, sf_dir):
     """Share of spanning-tree edges whose ends have one label."""
     v = vectors(spark, sf_dir)
-    tree = A.spanning_tree(A.pair_distances(v).withColumn("d", F.round("d", 9)), v.select(F.col("vec_id").alias("node")))
+    tree = T.edges_of(v, T.spanning_tree(v))
     both = tree.join(labels(spark, sf_dir, "a", "la"), "a").join(labels(spark, sf_dir, "b", "lb"), "b")
     return both.agg(F.round(F.avg((F.col("la") == F.col("lb")).cast("int")), 6).alias("purity"), F.count("*").alias("edges"))
 
