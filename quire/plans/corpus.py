@@ -295,6 +295,6 @@ def source_quota(spark, sf_dir):
 
 @query()
 def linkage_purity(spark, sf_dir):
-    """Average-linkage clusters of all vectors and their purity by label; more than 5,000 vectors are an error."""
-    c = A.average_linkage(A.pair_distances(vectors(spark, sf_dir)), 8, most=5000)
+    """Average-linkage clusters of all vectors and their purity by label."""
+    c = T.linkage(vectors(spark, sf_dir), 8)
     return A.purity(c.join(labels(spark, sf_dir, "node", "label"), "node"), "cluster", "label")
