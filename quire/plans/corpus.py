@@ -42,10 +42,8 @@ def pairwise_l2(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT round(avg(d) FILTER (la = lb), 6) AS same_mean, round(stddev_pop(d) FILTER (la = lb), 6) AS same_std, round(avg(d) FILTER (la <> lb), 6) AS other_mean, round(avg(d) FILTER (la <> lb) / avg(d) FILTER (la = lb), 6) AS separation FROM pairs")
 def pair_separation(spark, sf_dir):
-    p = pairs(spark, sf_dir).join(labels(spark, sf_dir, "a", "la"), "a").join(labels(spark, sf_dir, "b", "lb"), "b")
-    same, other = F.when(F.col("la") == F.col("lb"), F.col("d")), F.when(F.col("la") != F.col("lb"), F.col("d"))
     r = lambda c, name: F.round(c, 6).alias(name)
-    return p.agg(r(F.avg(same), "same_mean"), r(F.stddev_pop(same), "same_std"), r(F.avg(other), "other_mean"), r(F.avg(other) / F.avg(same), "separation"))
+    return T.separation(vectors(spark, sf_dir), "label").select(r("mean", "same_mean"), r("std", "same_std"), r("others_mean", "other_mean"), r(F.col("others_mean") / F.col("mean"), "separation"))
 
 
 @query(f"WITH {_BOTH} SELECT round(avg(CASE WHEN li = lj THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM nn WHERE rank = 1")
