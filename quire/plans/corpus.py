@@ -129,14 +129,10 @@ def betti1(spark, sf_dir):
 @query()
 def vr_components(spark, sf_dir):
     """Components and loops of the graph of all vectors closer than 0.9."""
-    return _loops(pairs(spark, sf_dir), vectors(spark, sf_dir).select(F.col("vec_id").alias("node")))
-
-
-def _loops(edges, nodes):
-    near = A.written(edges.filter("d < 0.9"), "near")
-    c = A.components(near, nodes).agg(F.count("*").alias("v"), F.count_distinct("root").alias("components"))
-    e = near.agg(F.count("*").alias("e"))
-    return c.crossJoin(F.broadcast(e)).select("v", "e", "components", (F.col("e") - (F.col("v") - F.col("components"))).alias("loops"))
+    v = vectors(spark, sf_dir)
+    tree = len(T.spanning_tree(v, below=0.9))
+    n = F.col("v") - tree
+    return v.agg(F.count("*").alias("v")).crossJoin(F.broadcast(T.count_below(v, 0.9))).select("v", "e", n.alias("components"), (F.col("e") - tree).alias("loops"))
 
 
 _SCALE = "s AS (SELECT l_orderkey % 40 + 1 AS n, sum(l_extendedprice) / 1000 AS y FROM lineitem WHERE l_orderkey % 40 < l_linenumber * 8 GROUP BY 1)"
