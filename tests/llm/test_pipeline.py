@@ -102,3 +102,22 @@ def test_cleanup_removes_intermediate_tables(spark, docs):
     assert substring_dedup(docs).count() and os.listdir(f"{S.shared_dir(spark)}/quire")
     S.cleanup(spark)
     assert not os.path.exists(f"{S.shared_dir(spark)}/quire")
+
+
+def test_rows_go_without_moving_texts(spark, sf_dir, monkeypatch):
+    """Rows that go are sent to the texts, whatever Spark's own threshold, up to a bound; beyond it a shuffle gives the same."""
+    from quire.llm import _spark as S
+
+    docs = S.stable(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    gone = S.keyed_all(docs, "f", "r").filter("r % 3 = 0").select("f", "r")
+    want = [r.doc_id for r in S.keyed_all(docs, "f", "r").filter("r % 3 <> 0").select("doc_id").collect()]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, join in ((1 << 21, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(P, "BROADCAST", most)
+            left = P._without(docs, gone)
+            assert join in left._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.doc_id for r in left.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
