@@ -48,10 +48,12 @@ def few(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return every[on], every[root[on]]
 
 
-def dealt(postings: DataFrame) -> DataFrame:
-    """``postings`` (list, member, more) with long lists split: as many lists as a long one has pairs of tiles."""
-    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > LONG)
-    long = S.written(sizes.select("list", F.ceil(2 * F.col("n") / LONG).cast("int").alias("tiles")), "long")
+def dealt(postings: DataFrame, most: int | None = None) -> DataFrame:
+    """``postings`` (list, member, more) with long lists, of over ``most`` members, split: as many lists as a long one
+    has pairs of tiles."""
+    most = most or LONG
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    long = S.written(sizes.select("list", F.ceil(2 * F.col("n") / most).cast("int").alias("tiles")), "long")
     n = long.count()
     if not n:
         return postings
@@ -64,9 +66,10 @@ def dealt(postings: DataFrame) -> DataFrame:
     return postings.join(long, "list", "left_anti").select("list", *more).unionByName(split)
 
 
-def met(postings: DataFrame, compare: Callable, data: str | None = None) -> DataFrame:
+def met(postings: DataFrame, compare: Callable, data: str | None = None, most: int | None = None) -> DataFrame:
     """Links (u, v), as few as join the components of each list. ``postings`` has list and member (long) and maybe
-    ``data``, a binary column of one width; ``compare(keys, members, data)`` gives the links of some whole lists."""
+    ``data``, a binary column of one width; ``compare(keys, members, data)`` gives the links of some whole lists.
+    Lists of over ``most`` members, else ``LONG``, are split."""
     n = S.shards(postings.sparkSession)
 
     def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -90,4 +93,4 @@ def met(postings: DataFrame, compare: Callable, data: str | None = None) -> Data
             yield part(held)
         B.release()
 
-    return dealt(postings).repartition(n, "list").sortWithinPartitions("list").mapInArrow(meet, "u long, v long")
+    return dealt(postings, most).repartition(n, "list").sortWithinPartitions("list").mapInArrow(meet, "u long, v long")

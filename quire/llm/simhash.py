@@ -49,18 +49,23 @@ def fingerprints_of(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> np
     if not len(hashes):
         return out
     head = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-    size = np.diff(np.append(head, len(text)))
+    out[text[head]] = majority(hashes, head)
+    return out
+
+
+def majority(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes of each run; ``head``: where runs begin, 0 first."""
+    size = np.diff(np.append(head, len(hashes)))
     # bits are counted in eight lanes of a byte, for at most 255 hashes at a time
     parts = -(-size // 255)
     owner = np.repeat(np.arange(len(head)), parts)
-    step = head[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    count = np.empty((len(head), 64), np.int64)
     first = np.cumsum(parts) - parts
+    step = head[owner] + 255 * (np.arange(len(owner)) - first[owner])
+    count = np.empty((len(head), 64), np.int64)
     for k in range(8):
         lanes = np.add.reduceat(hashes >> np.uint64(k) & _LANES, step).astype("<u8").view(np.uint8).reshape(-1, 8)
         count[:, k::8] = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
-    out[text[head]] = np.packbits(2 * count > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return np.packbits(2 * count > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 
-from quire.llm import _lists, near_copies
+from quire.llm import _bytes, _lists, near_copies
 
 from . import brute
 
@@ -91,3 +92,46 @@ def kept_nulls(rows):
 
 def test_empty(spark, sf_dir):
     assert stage(spark, [], sf_dir) == []
+
+
+def sets_at(r, whole, both, n):
+    """n pairs of sets of hashes, ``both`` of whose ``whole`` members are shared, the others dealt to either."""
+    for _ in range(n):
+        every = np.array([r.getrandbits(64) for _ in range(whole)], np.uint64)
+        cut = both + (whole - both) // 2
+        yield np.sort(every[:cut]), np.sort(np.append(every[:both], every[cut:]))
+
+
+def test_candidates_come_from_simhash(spark):
+    """Fingerprints are majorities of bits, members share a list for each positional byte they have in common, and
+    pairs at 0.8, of few shingles and many, all meet and are near; unrelated ones don't."""
+    r = random.Random(9)
+    pairs = [p for whole, both in ((5, 4), (10, 8), (100, 80), (700, 560)) for p in sets_at(r, whole, both, 200)]
+    sets = [x for p in pairs for x in p]
+    prints = near_copies.fingerprints(sets)
+    for k in (0, 1, 500, 1599):
+        want = []
+        for salt in near_copies._SALTS:
+            votes = [int(h) for h in _bytes.mix(sets[k] ^ salt)]
+            want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in votes) > len(votes)))
+        assert prints[k].tolist() == want
+    classes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(prints)], "key long, sketch binary")
+    rows = near_copies.postings(classes).orderBy("list").collect()
+    held = {}
+    for x in rows:
+        held.setdefault(x["member"], set()).add(x["list"])
+    shared = (prints[::2].view(np.uint8) == prints[1::2].view(np.uint8)).sum(axis=1)
+    assert [len(held[2 * k] & held[2 * k + 1]) for k in range(len(pairs))] == shared.tolist()
+    keys, members = (np.array([x[c] for x in rows], np.int64) for c in ("list", "member"))
+    sketch = np.frombuffer(b"".join(x["sketch"] for x in rows), np.uint64).reshape(-1, 4)
+    u, v = near_copies.links(keys, members.view(np.uint64), sketch)
+    found = set(zip(u.tolist(), v.tolist(), strict=True))
+    assert found == {(2 * k + 1, 2 * k) for k in range(len(pairs))}
+
+
+def test_long_lists_are_split(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(near_copies, "LISTS", 1)
+    monkeypatch.setattr(near_copies, "FEW", 3)
+    monkeypatch.setattr(_lists, "LONG", 20)
+    rows = edited()
+    assert sorted(i for i, _ in stage(spark, rows, sf_dir)) == kept(rows)
