@@ -243,9 +243,10 @@ def _ordered(keys: np.ndarray, contents: list[bytes], least: np.ndarray, size: i
     return out, bound
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, as_text: bool = False) -> DataFrame:
     """One row for each row of ``docs``: _f, _r (the row's place), the id, ``n_bytes``, ``n_removed``, ``n_spans``
-    (maximal removed runs) and ``kept``, the remaining bytes. The id is an integer."""
+    (maximal removed runs) and ``kept``, the remaining bytes, or with ``as_text`` the text of them, without code points
+    that lost some of their bytes. The id is an integer."""
     if not 2 <= size < 200:
         raise ValueError("size is 2 to 199")
     n = S.shards(docs.sparkSession)
@@ -339,12 +340,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sums, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(begins))
         keep = got.buf[~gone].tobytes()
         cut = (offs - sums[offs]).tolist()
+        rest = [keep[a:z] for a, z in zip(cut, cut[1:], strict=False)]
         return pa.table({
             "_f": got.rows.column("_f"), "_r": got.rows.column("_r"), "id": got.rows.column("id"), "n_bytes": np.diff(offs), "n_removed": np.diff(sums[offs]), "n_spans": np.diff(spans[offs]),
-            "kept": pa.array([keep[a:z] for a, z in zip(cut, cut[1:], strict=False)], pa.binary()),
+            "kept": pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary()),
         })
 
-    made = S.with_replies(rows, replies, finish, "_f long, _r long, id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    made = S.with_replies(rows, replies, finish, f"_f long, _r long, id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return made.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 

@@ -121,3 +121,18 @@ def test_rows_go_without_moving_texts(spark, sf_dir, monkeypatch):
             assert sorted(r.doc_id for r in left.collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_decoded_where_they_are_cut(spark, docs):
+    """The suffix stage has no second Python function, and so no second worker, beside the one that cuts; texts are those of the kept bytes."""
+    from quire.llm import _spark as S
+    from quire.llm.suffix_dedup import suffix_dedup
+
+    # the shared bytes end inside a code point
+    halves = spark.createDataFrame([(900, "q7" * 40 + "é end", 84), (901, "q7" * 40 + "è other", 86)], "doc_id long, text string, n_chars long")
+    rows = S.stable(docs.select("doc_id", "text", "n_chars").unionByName(halves))
+    assert "EvalPython" not in P.suffix(spark, rows, "")._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r._f, r._r)
+    kept, texts = (sorted(suffix_dedup(rows, as_text=t).collect(), key=key) for t in (False, True))
+    assert [bytes(r.kept).decode("utf-8", "ignore") for r in kept] == [r.kept for r in texts]
+    assert any(bytes(r.kept) != t.kept.encode() for r, t in zip(kept, texts, strict=True))
