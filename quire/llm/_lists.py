@@ -48,9 +48,9 @@ def few(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return every[on], every[root[on]]
 
 
-def dealt(postings: DataFrame, most: int | None = None) -> DataFrame:
+def dealt(postings: DataFrame, most: int | None = None, repeats: bool = False) -> DataFrame:
     """``postings`` (list, member, more) with long lists, of over ``most`` members, split: as many lists as a long one
-    has pairs of tiles."""
+    has pairs of tiles. With ``repeats`` a list may have rows of one member: those that are equal go, others are spread."""
     most = most or LONG
     sizes = postings.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     long = S.written(sizes.select("list", F.ceil(2 * F.col("n") / most).cast("int").alias("tiles")), "long")
@@ -60,16 +60,17 @@ def dealt(postings: DataFrame, most: int | None = None) -> DataFrame:
     if n <= SMALL:
         long = F.broadcast(long)
     more = [c for c in postings.columns if c != "list"]
-    own = postings.join(long, "list").withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int"))
+    own = postings.join(long, "list")
+    own = (own.distinct() if repeats else own).withColumn("own", F.pmod(F.xxhash64(*more if repeats else ["member"]), F.col("tiles")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     split = each.select(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("list"), *more)
     return postings.join(long, "list", "left_anti").select("list", *more).unionByName(split)
 
 
-def met(postings: DataFrame, compare: Callable, data: str | None = None, most: int | None = None) -> DataFrame:
+def met(postings: DataFrame, compare: Callable, data: str | None = None, most: int | None = None, repeats: bool = False) -> DataFrame:
     """Links (u, v), as few as join the components of each list. ``postings`` has list and member (long) and maybe
     ``data``, a binary column of one width; ``compare(keys, members, data)`` gives the links of some whole lists.
-    Lists of over ``most`` members, else ``LONG``, are split."""
+    Lists of over ``most`` members, else ``LONG``, are split; ``repeats`` is as in ``dealt``."""
     n = S.shards(postings.sparkSession)
 
     def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -93,4 +94,4 @@ def met(postings: DataFrame, compare: Callable, data: str | None = None, most: i
             yield part(held)
         B.release()
 
-    return dealt(postings, most).repartition(n, "list").sortWithinPartitions("list").mapInArrow(meet, "u long, v long")
+    return dealt(postings, most, repeats).repartition(n, "list").sortWithinPartitions("list").mapInArrow(meet, "u long, v long")

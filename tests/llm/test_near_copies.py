@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 import pytest
 
-from quire.llm import _bytes, _lists, near_copies
+from quire.llm import _bytes, _lists, _spark, near_copies
 
 from . import brute
 
@@ -135,3 +135,43 @@ def test_long_lists_are_split(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(_lists, "LONG", 20)
     rows = edited()
     assert sorted(i for i, _ in stage(spark, rows, sf_dir)) == kept(rows)
+
+
+def test_a_link_is_not_found_in_every_list(spark, sf_dir, monkeypatch):
+    """The members of a group of near copies share most of the 64 lists; few of these join them again."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, n = [word() for _ in range(200)], 150
+    texts = [[*base[:k], word(), *base[k + 1 :]] for k in range(n)] + [[word() for _ in range(30)] for _ in range(20)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    real, made = _lists.met, []
+
+    def met(*args, **more):
+        links = _spark.written(real(*args, **more), "links")
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(_lists, "met", met)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert sorted(i for i, _ in stage(spark, rows, sf_dir)) == kept(rows) == [0, *range(n, n + 20)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n <= sum(made) <= 12 * n
+
+
+def test_rows_of_one_member_are_joined(spark):
+    """Each row of a member may link it to another, in long lists too, where equal rows go; its own rows make no link."""
+    r = random.Random(13)
+    own, other, far = (np.array([r.getrandbits(64) for _ in range(4)], np.uint64) for _ in range(3))
+    near = other ^ np.uint64(7 << 32)
+    keys, members = np.zeros(4, np.int64), np.array([5, 5, 9, 11], np.uint64)
+    u, v = near_copies.links(keys, members, np.stack([own, other, near, far]))
+    assert list(zip(u.tolist(), v.tolist(), strict=True)) == [(9, 5)]
+    rows = [(0, int(m), bytearray(x.tobytes())) for m, x in zip(members, (own, other, near, far), strict=True) for _ in range(5)]
+    postings = spark.createDataFrame(rows, "list long, member long, sketch binary")
+    compare = lambda keys, members, data: near_copies.links(keys, members, np.frombuffer(data, np.uint64).reshape(-1, 4))
+    found = _lists.met(postings, compare, "sketch", 3, True).collect()
+    assert {(x.u, x.v) for x in found} == {(9, 5)}
+    assert _lists.dealt(postings, 3, True).distinct().count() == _lists.dealt(postings, 3, True).count()
